@@ -8,9 +8,14 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
+    "op1_quality": "quality",
     "op3_packing": "packing",
+    "op4_license_scan": "license_scan",
+    "op5_near_dedup": "near_dedup",
     "op7_token_id_files": "id_files",
+    "op8_language_id": "language_id",
     "op9_prefix_bpe": "prefix_bpe",
+    "op10_topk": "topk",
 }
 
 
