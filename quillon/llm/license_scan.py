@@ -168,9 +168,9 @@ with docs as (select doc_id, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL
 words as (select doc_id, regexp_extract_all(t, '{WORD}') w, t from docs),
 phrases(label, p) as (values {phrases}),
 spots as (
-  select doc_id, label, i - 1 as at from (select doc_id, w, unnest(range(1, len(w) + 1)) i from words where t like '%license%'), phrases
+  select doc_id, label, i - 1 as spot from (select doc_id, w, unnest(range(1, len(w) + 1)) i from words where t like '%license%'), phrases
   where list_slice(w, i, i + len(p) - 1) = p),
-base as (select doc_id, count(*) n_base, min(at) first_word, max(at) last_word, list_sort(list(distinct label)) ls from spots group by 1),
+base as (select doc_id, count(*) n_base, min(spot) first_word, max(spot) last_word, list_sort(list(distinct label)) ls from spots group by 1),
 templates(label, t) as (values {texts}),
 sets as (select label, list_distinct(string_split(t, ' ')) s from templates),
 lines as (select doc_id, list_distinct(regexp_extract_all(b, '{WORD}')) w from (select doc_id, unnest(string_split(t, chr(10))) b from docs)),
