@@ -37,17 +37,29 @@ from .token_ids import encoder, tokenizer_path
 MAGIC, HEAD, BLOCK, FOOT = b"QPF1", struct.Struct("<4sIQQQ"), struct.Struct("<IHBB"), struct.Struct("<QI4s")
 
 
+def _word(width: int) -> np.dtype:
+    """The narrowest unsigned type of at least ``width`` bits."""
+    return np.dtype("<u1" if width <= 8 else "<u2" if width <= 16 else "<u4")
+
+
 def _pack_bits(values: np.ndarray, width: int) -> np.ndarray:
     """Rows of values to rows of bytes, ``width`` bits a value."""
-    bits = np.unpackbits(np.ascontiguousarray(values, "<u4").view(np.uint8).reshape(*values.shape, 4), axis=-1, bitorder="little")
+    word = _word(width)
+    raw = np.ascontiguousarray(values.astype(word)).view(np.uint8).reshape(len(values), -1)
+    if width == 8 * word.itemsize:
+        return raw
+    bits = np.unpackbits(raw, axis=1, bitorder="little").reshape(*values.shape, 8 * word.itemsize)
     return np.packbits(bits[..., :width].reshape(len(values), -1), axis=1, bitorder="little")
 
 
 def _unpack_bits(packed: np.ndarray, width: int, count: int) -> np.ndarray:
+    word = _word(width)
+    if width == 8 * word.itemsize:
+        return packed.view(word).astype("<u4")
     bits = np.unpackbits(packed, axis=1, count=count * width, bitorder="little").reshape(len(packed), count, width)
-    full = np.zeros((len(packed), count, 32), np.uint8)
+    full = np.zeros((len(packed), count, 8 * word.itemsize), np.uint8)
     full[..., :width] = bits
-    return np.packbits(full, axis=-1, bitorder="little").reshape(len(packed), count * 4).view("<u4")
+    return np.packbits(full, axis=-1, bitorder="little").reshape(len(packed), -1).view(word).astype("<u4")
 
 
 def _widths(above: np.ndarray, share: float) -> np.ndarray:
