@@ -15,33 +15,34 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch, sized
+
 BLOCK = 4096
 
 
-def in_runs(rows: DataFrame, group: str, node: str, block: int = BLOCK) -> DataFrame:
-    """The rows with ``run``, a struct that names the group and two of its blocks.
+def in_runs(rows: DataFrame, group: str, node: str, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+    """The rows with ``_group`` and ``_pair``, which together name a run: a group and two of its blocks.
 
-    Groups of one row are dropped. A hot group's count is combined before its
-    shuffle and its join can be split.
+    ``sizes`` are rows with the same groups that are cheaper to count. Only the
+    groups of more than one block go into a table of their own to join with.
     """
-    sizes = rows.groupBy(group).agg(F.count("*").alias("_size")).where("_size > 1")
-    blocks = F.ceil(F.col("_size") / block).cast("int")
-    own = F.pmod(F.xxhash64(node), blocks).cast("int")
-    sized = rows.join(sizes, group).withColumn("_blocks", blocks).withColumn("_own", own)
-    other = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
-    # one block: its run is (0, 0); more: (i, j) with i < j, which also covers the pairs inside i and inside j
-    spread = sized.withColumn("_other", other).where("_blocks = 1 or _own <> _other")
-    run = F.struct(F.col(group).alias("g"), F.least("_own", "_other").alias("i"), F.greatest("_own", "_other").alias("j"))
-    return spread.withColumn("run", run).drop("_size", "_blocks", "_own", "_other", group)
+    counted = (rows if sizes is None else sizes).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
+    large = Scratch(counted.where(F.col("_size") > block), "large-groups")
+    blocks = F.coalesce(F.ceil(F.col("_size") / block).cast("int"), F.lit(1))
+    named = rows.withColumnRenamed(group, "_group")
+    sized_rows = named.join(sized(large), "_group", "left").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
+    # one block: pair (0, 0); more: all (i, j) with i < j that have it, which also covers the pairs inside i and inside j
+    spread = sized_rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")
+    pair = F.least("_own", "_other").cast("long") * F.lit(1 << 31) + F.greatest("_own", "_other")
+    return spread.withColumn("_pair", pair).drop("_size", "_blocks", "_own", "_other")
 
 
 def forest(rows: DataFrame, columns: list[str], link: Callable[[pa.RecordBatch], list[tuple]], schema: str) -> DataFrame:
-    """Applies ``link`` to each run's rows (columns as named) and returns the (u, v) it gives."""
-    dealt = rows.select("run", *columns).repartition("run").sortWithinPartitions("run")
+    """Applies ``link`` to the rows of each run of two or more (columns as named) and returns the (u, v) it gives."""
+    dealt = rows.select("_group", "_pair", *columns).repartition("_group", "_pair").sortWithinPartitions("_group", "_pair")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -50,25 +51,25 @@ def forest(rows: DataFrame, columns: list[str], link: Callable[[pa.RecordBatch],
         for batch in batches:
             if not batch.num_rows:
                 continue
-            runs = batch.column(0)
-            keys = [runs.field(k) for k in range(3)]
-            change = np.zeros(batch.num_rows, bool)
-            for key in keys:
-                if batch.num_rows > 1:
-                    change[1:] |= np.asarray(pc.not_equal(key[1:], key[:-1]))
-            starts = [0, *np.flatnonzero(change).tolist(), batch.num_rows]
-            for at, to in zip(starts, starts[1:], strict=False):
-                here = tuple(key[at].as_py() for key in keys)
-                if here != name and held:
-                    out += _linked(held, link)
-                    held = []
-                name = here
-                held.append(batch.slice(at, to - at))
-                if len(out) >= 10_000:
-                    yield _links(out, types)
-                    out = []
-        if held:
-            out += _linked(held, link)
+            keys = [np.asarray(batch.column(k)) for k in range(2)]
+            edges = np.flatnonzero((keys[0][1:] != keys[0][:-1]) | (keys[1][1:] != keys[1][:-1])) + 1
+            starts, ends = np.concatenate([[0], edges]), np.concatenate([edges, [batch.num_rows]])
+            if (keys[0][0], keys[1][0]) == name:
+                held.append(batch.slice(0, int(ends[0])))
+            else:
+                out += _linked(held, link)
+                held = [batch.slice(0, int(ends[0]))]
+            if len(starts) > 1:
+                out += _linked(held, link)
+                inner = np.flatnonzero(ends[1:-1] - starts[1:-1] > 1) + 1
+                for k in inner.tolist():
+                    out += _linked([batch.slice(int(starts[k]), int(ends[k] - starts[k]))], link)
+                    if len(out) >= 10_000:
+                        yield _links(out, types)
+                        out = []
+                held = [batch.slice(int(starts[-1]))]
+            name = (keys[0][-1], keys[1][-1])
+        out += _linked(held, link)
         yield _links(out, types)
 
     types = rows.select(columns[0]).schema[0].dataType.simpleString()
@@ -79,7 +80,7 @@ def _linked(held: list[pa.RecordBatch], link: Callable[[pa.RecordBatch], list[tu
     if sum(b.num_rows for b in held) < 2:
         return []
     whole = held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-    return link(whole.select(whole.schema.names[1:]))
+    return link(whole.select(whole.schema.names[2:]))
 
 
 def _links(out: list[tuple], kind: str) -> pa.RecordBatch:

@@ -94,7 +94,7 @@ def _candidate_edges(reps: DataFrame, coordinates: int, matches: int, percent: i
     # each list has at most one entry for each coordinate
     lists = posted.join(common, "element").groupBy("doc_id").agg(F.collect_list(F.struct("df", "element")).alias("met")).where(F.size("met") >= matches)
     prefix = F.slice(F.array_sort("met"), F.lit(1), F.size("met") - F.lit(matches - 1))
-    survivors = reps.join(lists.select("doc_id", prefix.alias("prefix")), "doc_id")
+    survivors = saved(reps.join(lists.select("doc_id", prefix.alias("prefix")), "doc_id"), "survivors")
     postings = survivors.select("doc_id", "n_shingles", "signature", F.explode("prefix.element").alias("element"))
 
     def link(rows: pa.RecordBatch) -> list[tuple]:
@@ -150,7 +150,7 @@ def _confirmed_edges(docs: DataFrame, groups: Scratch, width: int, coordinates:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(sized(groups), "doc_id").select("doc_id", "component", "text", "set_md5")
     members = wanted.mapInArrow(sets, "doc_id long, component long, set_md5 binary, signature binary, shingles binary").dropDuplicates(["doc_id", "set_md5"])
-    return forest(in_runs(members, "component", "doc_id"), ["doc_id", "signature", "shingles"], link, "u long, v long")
+    return forest(in_runs(members, "component", "doc_id", groups.df), ["doc_id", "signature", "shingles"], link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:

@@ -12,6 +12,7 @@ MODULES = {
     "op3_packing": "packing",
     "op4_license_scan": "license_scan",
     "op5_near_dedup": "near_dedup",
+    "op6_line_dedup": "line_dedup",
     "op7_token_id_files": "id_files",
     "op8_language_id": "language_id",
     "op9_prefix_bpe": "prefix_bpe",
