@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import as_bytes, read_table, saved, slices
+from .common import Scratch, as_bytes, read_table, saved, sized, slices
 from .token_ids import encoder, tokenizer_path
 
 PIECES = "doc_id long, start long, length long, doc_tokens long, ids binary, part int, rank long"
@@ -65,8 +65,8 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int = 1, longest: int = 2048)
     pieces = saved(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(cut, PIECES), "pieces")
     counts = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     before = W.orderBy(F.desc("length"), "part").rowsBetween(W.unboundedPreceding, -1)
-    bases = counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    return pieces.join(bases, ["length", "part"]).select(
+    bases = Scratch(counts.select("length", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base")), "bases")
+    return pieces.join(sized(bases), ["length", "part"]).select(
         "doc_id", "start", "length", "doc_tokens", "ids", (F.col("base") + F.col("rank")).alias("sequence_id"), F.lit(0).cast("long").alias("offset")
     )
 

@@ -1,16 +1,25 @@
 """Token ids of texts with a public tokenizer file, exact and with a bounded memory.
 
-The pre-tokenizers and normalizers of the files used here never join text
+The normalizer and pre-tokenizer of the word-level BPE file never join text
 across ASCII white space, so a text's ids are the ids of its chunks between
-white space, one after the other. Chunks are remembered up to a bound.
+white space, one after the other. Chunks are remembered up to a bound. A new
+chunk of plain Latin letters, digits and ASCII signs is cut into its words here
+and only the words not seen before go to the library's model; any other chunk
+goes through the whole library.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+#: Chunks that no normalizer step but lower-casing changes, without the apostrophes that have a rule of their own.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+#: The words of such a chunk: runs of letters, single digits, runs of signs.
+WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -18,55 +27,57 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Remembered(dict):
+    """What ``make`` gives for a key; the keys used lately stay, at most twice ``limit`` of them."""
+
+    def __init__(self, make, limit: int, longest: int):
+        super().__init__()
+        self.make, self.limit, self.longest, self.older = make, limit, longest, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.limit:
+                self.older = dict(self)
+                self.clear()
+            self[key] = value
+        return value
+
+
 class ChunkEncoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids with the tokenizers library."""
 
-    LIMIT, LONGEST = 400_000, 48
-
-    def __init__(self, path: str):
+    def __init__(self, path: str, limit: int = 400_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        from .prefix_bpe import byte_alphabet
+
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.known: dict[bytes, bytes] = {}
-
-    def ids_of(self, chunk: bytes) -> bytes:
-        ids = self.tokenizer.encode(chunk.decode(), add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.alphabet = dict(enumerate(byte_alphabet()))
+        self.model = self.tokenizer.model
+        self.chunks = Remembered(self.chunk_ids, limit, 48)
+        self.words = Remembered(self.word_ids, limit // 2, 32)
+
+    def word_ids(self, word: str) -> bytes:
+        coded = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
+        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
+
+    def chunk_ids(self, chunk: bytes) -> bytes:
+        text = chunk.decode()
+        if PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
+            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
-        split = [(t or b"").split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > self.LIMIT:
-            self.known.clear()
-            new = set().union(*split)
-        rare: dict[bytes, bytes] = {}
-        batch = list(new)
-        for at in range(0, len(batch), 2000):
-            part = batch[at : at + 2000]
-            coded = self.tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False)
-            for chunk, found in zip(part, coded, strict=True):
-                ids = np.array(found.ids, "<u4").tobytes()
-                (self.known if len(chunk) <= self.LONGEST else rare)[chunk] = ids
-        known = self.known
-        if rare:
-            known = _Either(known, rare)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
-
-
-class _Either(dict):
-    """Chunks kept for good, else those of this call only."""
-
-    def __init__(self, kept: dict, rare: dict):
-        super().__init__(rare)
-        self.kept = kept
-
-    def __missing__(self, chunk: bytes) -> bytes:
-        return self.kept[chunk]
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, (t or b"").split())) for t in texts]
 
 
 _encoders: dict[str, ChunkEncoder] = {}
