@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = {
     "op1_quality": "quality",
+    "op2_pii": "pii",
     "op3_packing": "packing",
     "op4_license_scan": "license_scan",
     "op5_near_dedup": "near_dedup",
