@@ -4,7 +4,8 @@ Each rule looks at a document's measures and votes good (1), bad (-1) or abstain
 (0). Expectation-maximisation over the counts of vote patterns estimates how
 often each rule votes what in good and in bad documents, with no labels. The
 posterior probability of being good, given a document's votes, replaces a filter
-that all rules must pass. Base rules come before it: what they fail is not kept.
+that all rules must pass. Base rules come before it: what they fail is not kept,
+and nothing is learned from it.
 
 Defined results: a null or empty text has no words, so it fails the base rules;
 a null doc_id is carried; repeated rows are judged each for itself; other columns
@@ -88,11 +89,11 @@ class Rule:
 
 RULES = (
     Rule("length", "n_words < 25", "n_words >= 60"),
-    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 9 * n_words"),
+    Rule("word_length", "word_chars < 2 * n_words or word_chars > 14 * n_words", "word_chars between 3 * n_words and 7 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     Rule("repeated_lines", "n_lines >= 4 and 100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    Rule("letters", "10 * n_letters < 6 * word_chars", "10 * n_letters >= 8 * word_chars"),
+    Rule("letters", "10 * n_letters < 8 * word_chars", "10 * n_letters >= 9 * word_chars"),
     Rule("capitals", "n_letters > 0 and 10 * n_upper > 4 * n_letters", "n_letters > 0 and 10 * n_upper <= n_letters"),
     Rule("common_words", "n_words >= 40 and 50 * n_common < n_words", "20 * n_common >= n_words"),
     Rule("variety", "n_words >= 40 and 10 * n_distinct < 2 * n_words", "10 * n_distinct >= 4 * n_words or n_words >= 2000"),
@@ -126,15 +127,14 @@ class VoteModel:
         return 1 / (1 + F.exp(-total))
 
 
-def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8, accuracy: float = 0.8, trust: float = 0.02) -> VoteModel:
+def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior: float = 0.8, accuracy: float = 0.8, trust: float = 0.01) -> VoteModel:
     """EM over distinct vote patterns (a row each) and their counts.
 
     Rules start out right with the given accuracy, which also stays in the
-    estimate as ``trust`` times as many imagined votes as there are documents,
-    so that good stays good when rules are few or always agree.
+    estimate as imagined votes, ``trust`` times as many as a class has documents
+    and one at least, so that good stays good when rules always agree.
     """
     n, rules = counts.sum(), patterns.shape[1]
-    imagined = max(1.0, trust * n)
     start = np.array([[accuracy, 0.0, 1 - accuracy], [1 - accuracy, 0.0, accuracy]])
     chances = np.repeat(start[None], rules, axis=0)
     voted = np.stack([patterns == v for v in (-1, 0, 1)], axis=-1).astype(float)
@@ -147,7 +147,7 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, prior:
         mass = good * counts[:, None]
         each = np.einsum("pc,prv->rcv", mass, voted)
         each[..., 1] = 0
-        each += imagined * start
+        each += np.maximum(1.0, trust * mass.sum(axis=0))[None, :, None] * start
         after = each / each.sum(axis=2, keepdims=True)
         was, prior = prior, float(np.clip(mass[:, 1].sum() / n, 0.01, 0.99))
         done = abs(prior - was) < 1e-9 and np.abs(after - chances).max() < 1e-9
@@ -179,9 +179,10 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, least: float = 0.5)
     """
     table = saved(measured(docs), "measures").withColumns({f"vote_{r.name}": r.vote() for r in rules})
     votes = [f"vote_{r.name}" for r in rules]
-    counted = table.groupBy(*votes).agg(F.count("*").alias("n")).collect()
+    # what the base rules fail is decided, and would pass for the bad class if it were learned from
+    counted = table.where(~F.expr(BASE_FAILED)).groupBy(*votes).agg(F.count("*").alias("n")).collect()
     if not counted:
-        return table.withColumns({"base_failed": F.lit(True), "quality": F.lit(0.0), "kept": F.lit(False)})
+        return table.withColumns({"base_failed": F.expr(BASE_FAILED), "quality": F.lit(0.0), "kept": F.lit(False)})
     model = estimate(np.array([row[:-1] for row in counted]), np.array([row["n"] for row in counted], float))
     failed = F.expr(BASE_FAILED)
     quality = model.posterior([F.col(v) for v in votes])
