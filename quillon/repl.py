@@ -19,7 +19,7 @@ MENU = "1) connection string   2) guided   3) this session's tables   exit"
 def rendered(frame: DataFrame) -> Iterator[list[str]]:
     """Rows as text, one partition at a time; a null is an empty text."""
     shown = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) if frame.columns.count(c) == 1 else None for c in frame.columns]
-    if None not in shown and all(t in _PLAIN or t.startswith(("decimal", "varchar", "char", "interval")) for _, t in frame.dtypes):
+    if all(c is not None for c in shown) and all(t in _PLAIN or t.startswith(("decimal", "varchar", "char", "interval")) for _, t in frame.dtypes):
         frame = frame.select(*shown)
     for row in frame.toLocalIterator():
         yield ["" if v is None else str(v) for v in row]
@@ -51,6 +51,10 @@ def show(frame: DataFrame, out: TextIO | None = None) -> int:
     return aligned(frame.columns, rendered(frame), out or sys.stdout)
 
 
+def _first_line(error: Exception) -> str:
+    return next((line.strip() for line in str(error).splitlines() if line.strip()), type(error).__name__)
+
+
 class Prompt:
     """Reads lines, answers each; /dc goes back to the menu, /q ends, an empty line is passed over."""
 
@@ -67,7 +71,7 @@ class Prompt:
         try:
             count = show(self.engine.sql(text.rstrip(";")), self.out)
         except Exception as e:  # noqa: BLE001  an error ends the statement, not the prompt
-            self.say(f"error: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+            self.say(f"error: {_first_line(e)}")
             return
         self.say(f"[{count} rows in set ({time.perf_counter() - began:.3f} sec)]")
 
@@ -109,7 +113,7 @@ class Prompt:
             except (EOFError, KeyboardInterrupt):
                 return
             except Exception as e:  # noqa: BLE001  back to the menu
-                self.say(f"connection failed: {str(e).splitlines()[0] if str(e) else type(e).__name__}")
+                self.say(f"connection failed: {_first_line(e)}")
                 continue
             if not self.loop():
                 return
