@@ -168,9 +168,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     twice = named.where("class is not null").groupBy("doc_id").agg(F.countDistinct("class").alias("n")).where("n > 1").select("doc_id")
     joined = spread.join(twice, F.col("v") == F.col("doc_id"), "left_semi")
     components = Scratch(connected_components(links.unionAll(joined)), "components")
-    component = F.coalesce("component", "class", "doc_id")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
     final = named.join(sized(components).withColumnRenamed("node", "class"), "class", "left")
-    return final.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id").isNotNull() & (component == F.col("doc_id"))).alias("kept"))
+    return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))
 
 
 #: Exact pairs of sets that meet in a shingle, and their components, for small tables.

@@ -1,0 +1,162 @@
+"""Packing, token-id files and prefix BPE against the library."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+from tokenizers import Tokenizer
+
+from quillon.llm import id_files, packing, prefix_bpe
+from quillon.llm.common import new_path
+from quillon.llm.token_ids import ChunkEncoder, Remembered, tokenizer_path
+
+WORD, BYTE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte_bpe_50k.json")
+ROWS = [(3, "Hello world, hello WORLD's end."), (1, None), (2, ""), (7, "x" * 40_000 + " tail"), (5, "déjà vu\tДа — 漢字 🙂 a<|endoftext|>b"), (5, "déjà vu\tДа — 漢字 🙂 a<|endoftext|>b"), (None, "no id"), (9, "the end " * 3000)]
+SCHEMA = "doc_id long, text string, part int, rank long, ids string, sequence_id string"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, 1, 2, "clash", "clash") for r in ROWS], SCHEMA).repartition(3)
+
+
+def odd_texts(count=1500):
+    r = random.Random(11)
+    signs = "aAbBTJ zZ éÉßŁİKΣς\x1c\x1f\x85 　\n\t\r'stvemdẗ̈̌ ll09٣ Ω漢字🙂́​<|endoftext|>.,!#ͅ"
+    words = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "don't", "WE'VE", "ﬁn", "Ⅷ", "ª", "µ", "×", "÷"]
+    plain = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(count)]
+    mixed = [" ".join(r.choice([*words, "the", "The,", "abc123"]) for _ in range(r.randint(1, 9))) for _ in range(count // 3)]
+    return ["", " ", "a" * 3000, *plain, *mixed]
+
+
+def library(path):
+    t = Tokenizer.from_file(path)
+    t.no_truncation()
+    t.no_padding()
+    return t
+
+
+def test_chunk_encoder_is_the_library():
+    t, coder = library(WORD), ChunkEncoder(WORD, limit=50)
+    texts = odd_texts()
+    for text, ids in zip(texts, coder.encode([x.encode() for x in texts]), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_remembered_keeps_a_bound():
+    made = []
+    r = Remembered(lambda k: made.append(k) or k.upper(), 3, 5)
+    assert [r[c] for c in "abcabcdefa"] == list("ABCABCDEFA")
+    assert len(r) <= 3 and r["toolong"] == "TOOLONG" and "toolong" not in r
+
+
+def test_prefix_coder_is_the_library():
+    t, coder = library(BYTE), prefix_bpe.PrefixCoder(BYTE)
+    for text in odd_texts() + ["in order that thing's thing", "     x", "\n\n\n a"]:
+        ids = t.encode(text, add_special_tokens=False).ids
+        assert coder.encode(text) == ids, repr(text)
+        assert coder.decode(ids) == t.decode(ids, skip_special_tokens=False)
+
+
+def test_decode_of_broken_bytes():
+    t, coder = library(BYTE), prefix_bpe.PrefixCoder(BYTE)
+    r = random.Random(2)
+    for _ in range(300):
+        ids = [r.randrange(50257) for _ in range(r.randint(0, 8))]
+        assert coder.decode(ids) == t.decode(ids, skip_special_tokens=False), ids
+
+
+def test_round_trips(docs):
+    t = library(BYTE)
+    found = sorted(map(tuple, prefix_bpe.round_trips(docs, BYTE).collect()), key=repr)
+    expected = []
+    for doc_id, text in ROWS:
+        ids = t.encode(text or "", add_special_tokens=False).ids
+        expected.append((doc_id, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.decode(ids, skip_special_tokens=False).encode()).hexdigest()))
+    assert found == sorted(expected, key=repr)
+
+
+def test_encode_then_decode(docs):
+    coded = prefix_bpe.encode(docs, BYTE)
+    assert sorted(map(tuple, prefix_bpe.decode(coded, BYTE).collect()), key=repr) == sorted(((d, t or "") for d, t in ROWS), key=repr)
+    assert prefix_bpe.round_trips(docs.limit(0), BYTE).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 5, 2047, 2048, 2049, 6000])
+def test_piece_lengths(n):
+    found = packing.piece_lengths(n)
+    assert sum(found) == n and all(k & (k - 1) == 0 and k <= 2048 for k in found)
+    assert found == sorted(found, reverse=True)
+
+
+def test_pack(docs):
+    t = library(WORD)
+    rows = packing.pack(docs, WORD).collect()
+    expected = sorted((d is None, d or 0, np.array([*t.encode(x or "", add_special_tokens=False).ids, 1], "<u4").tobytes()) for d, x in ROWS)
+    by_doc = {}
+    for r in rows:
+        assert r.offset == 0 and len(r.ids) == 4 * r.length and r.length & (r.length - 1) == 0
+        by_doc.setdefault((r.doc_id is None, r.doc_id or 0), []).append(r)
+    whole = []
+    for (null, doc), pieces in by_doc.items():
+        pieces.sort(key=lambda r: r.start)
+        copies = sum(d == (None if null else doc) for d, _ in ROWS)
+        for k in range(copies):
+            own = pieces[k::copies]
+            assert [r.start for r in own] == np.cumsum([0, *[r.length for r in own][:-1]]).tolist()
+            assert {r.doc_tokens for r in own} == {sum(r.length for r in own)}
+            whole.append((null, doc, b"".join(bytes(r.ids) for r in own)))
+    assert sorted(whole) == expected
+    numbers = sorted((r.sequence_id, r.length) for r in rows)
+    assert [n for n, _ in numbers] == list(range(len(rows)))
+    assert [k for _, k in numbers] == sorted((k for _, k in numbers), reverse=True)  # equal lengths side by side
+
+
+def test_pack_digests_and_limits(docs):
+    row = packing.digests(packing.pack(docs.where("doc_id = 2"), WORD)).first()
+    assert row.asDict() == {"doc_id": 2, "start": 0, "length": 1, "ids_crc32": zlib.crc32(np.array([1], "<u4").tobytes()), "doc_tokens": 1, "sequence_id": 0, "offset": 0}
+    assert packing.pack(docs.limit(0), WORD).count() == 0
+    with pytest.raises(ValueError, match="power of two"):
+        packing.pack(docs, WORD, longest=1000)
+
+
+@pytest.mark.parametrize("values", [[], [5], [0, 2**32 - 1] * 700, list(range(1024)), [7] * 3000, [1] * 1023 + [2**31], list(range(0, 70_000, 3))])
+@pytest.mark.parametrize("share", [0.5, 0.98, 1.0])
+def test_block_round_trip(values, share):
+    ids = np.array(values, "<u4")
+    data = id_files.encode_file(ids, [len(ids)], [1], share=share)
+    found, lengths, docs = id_files.decode_file(data)
+    assert found.tolist() == values and lengths.tolist() == [len(values)] and docs == [1]
+
+
+def test_random_blocks_and_damage():
+    r = np.random.default_rng(5)
+    ids = np.where(r.random(9000) < 0.03, r.integers(0, 2**32, 9000), r.integers(900, 1500, 9000)).astype("<u4")
+    data = id_files.encode_file(ids, [4000, 0, 5000], [None, -3, 2**60], size=256, share=0.9)
+    found, lengths, docs = id_files.decode_file(data)
+    assert (found == ids).all() and docs == [None, -3, 2**60] and lengths.tolist() == [4000, 0, 5000]
+    assert len(data) < 2.2 * len(ids)  # narrow values stay narrow beside the exceptions
+    with pytest.raises(ValueError, match="not a whole"):
+        id_files.decode_file(data[:50] + bytes([data[50] ^ 1]) + data[51:])
+
+
+def test_files_in_order(spark, docs):
+    t = library(WORD)
+    out = new_path(spark, "test-ids")
+    files = id_files.write_id_files(docs, out, WORD, ids_per_file=2000)
+    assert files.count() > 2 and files.agg({"documents": "sum"}).first()[0] == len(ROWS)
+    found = sorted(map(tuple, id_files.digests(id_files.read_id_files(spark, out, files)).collect()), key=lambda r: r[1])
+    start, expected = 0, []
+    for doc_id, text in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)):
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        expected.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert found == expected
+
+
+def test_no_documents(spark, docs, tmp_path):
+    docs.limit(0).select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    for query in (id_files.query, packing.query, prefix_bpe.query):
+        assert query(spark, str(tmp_path)).count() == 0
