@@ -15,8 +15,8 @@ of all that is left is below its k-th score. The first pass asks only the parts
 around a query's own pivot; its k-th score is then where the other parts begin.
 
 Defined results: vectors that are null, empty, of another length than most, or
-hold a null or non-finite component take no part, nor do rows with a null
-vec_id; rows that share a vec_id are one candidate each, and a query never finds
+hold a null, non-finite or huge component (2^52 or more) take no part, nor do
+rows with a null vec_id; rows that share a vec_id are one candidate each, and a query never finds
 its own vec_id; a query id that repeats is asked once, with one of its vectors;
 fewer candidates than k give all; other columns are ignored.
 """
@@ -39,6 +39,8 @@ QUERY_BLOCK = 256
 #: Rows in a part of the index, at most, so that a task can hold one.
 PART_ROWS = 50_000
 SAMPLE_ROWS, PIVOTS = 4096, 48
+#: Components from here on have no 64-bit integer, infinity among them.
+LARGEST = 2.0**52
 SCORES = "query_id long, vec_id long, score long"
 
 
@@ -46,7 +48,7 @@ def integer_vectors(table: DataFrame, id_column: str = "vec_id", vector: str = "
     """vec_id and floor(1024 * x) of every component, for the rows that take part."""
     x = F.col(vector).cast("array<double>")
     fine = F.col(id_column).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0)
-    finite = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == F.lit(float("inf"))))
+    finite = ~F.exists(x, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) >= LARGEST))
     whole = F.transform(x, lambda c: F.floor(c * SCALE))
     rows = table.where(fine).where(finite).select(F.col(id_column).cast("long").alias("vec_id"), whole.alias("v"))
     sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").limit(1).collect()
@@ -64,13 +66,16 @@ def choose_pivots(sample: np.ndarray, count: int = PIVOTS) -> np.ndarray:
 
 
 def inner(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Exact integer products: in doubles where every partial sum fits them, else in 64-bit integers."""
+    """Exact integer products: in doubles where every partial sum fits them, else in 64-bit integers, else in Python's."""
     most = int(np.abs(queries).max(initial=0)) * int(np.abs(rows).max(initial=0)) * queries.shape[1]
     if most < 1 << 53:
         return (queries.astype(np.float64) @ rows.astype(np.float64).T).astype(np.int64)
-    if most >= 1 << 63:
-        raise OverflowError("a score may need more than 64 bits")
-    return queries @ rows.T
+    if most < 1 << 63:
+        return queries @ rows.T
+    exact = queries.astype(object) @ rows.astype(object).T
+    if max(map(abs, exact.ravel()), default=0) >= 1 << 63:
+        raise OverflowError("a score needs more than 64 bits")
+    return exact.astype(np.int64)
 
 
 def best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
@@ -172,7 +177,10 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame:
     stated set of queries against all rows must; a block is one row.
     """
     spark = vectors.sparkSession
-    sample = vectors.orderBy(F.xxhash64("v"), "vec_id").select("v").limit(SAMPLE_ROWS).collect()
+    # about SAMPLE_ROWS rows, by a hash; a vector that repeats counts as one
+    share = min(1.0, SAMPLE_ROWS / max(1, vectors.count()))
+    chosen = vectors.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < int(share * (1 << 30))).select("v").distinct()
+    sample = chosen.limit(2 * SAMPLE_ROWS).collect() or vectors.select("v").limit(1).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     index = build_index(vectors, pivots := choose_pivots(np.array([r["v"] for r in sample], np.float64)))
