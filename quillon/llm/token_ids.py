@@ -15,8 +15,9 @@ import re
 
 import numpy as np
 
-#: Chunks that no normalizer step but lower-casing changes, without the apostrophes that have a rule of their own.
-PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+#: Chunks that no normalizer step but lower-casing changes, without the apostrophes that have a rule of their
+#: own and the sign that special tokens start with.
+PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
 #: The words of such a chunk: runs of letters, single digits, runs of signs.
 WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
@@ -49,7 +50,7 @@ class Remembered(dict):
 class ChunkEncoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids with the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -58,11 +59,12 @@ class ChunkEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(PLAIN.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("special tokens must have a sign that plain chunks don't have")
         self.alphabet = dict(enumerate(byte_alphabet()))
         self.model = self.tokenizer.model
         self.chunks = Remembered(self.chunk_ids, limit, 48)
-        self.words = Remembered(self.word_ids, limit // 2, 32)
+        self.words = Remembered(self.word_ids, limit, 32)
 
     def word_ids(self, word: str) -> bytes:
         coded = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
@@ -70,14 +72,23 @@ class ChunkEncoder:
 
     def chunk_ids(self, chunk: bytes) -> bytes:
         text = chunk.decode()
-        if PLAIN.fullmatch(text) and not any(s in text for s in self.specials):
+        if PLAIN.fullmatch(text):
             return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
         """Ids of each text; a null text counts as empty."""
         get = self.chunks.__getitem__
-        return [b"".join(map(get, (t or b"").split())) for t in texts]
+        return [b"".join(map(get, self.settled(t or b"").split())) for t in texts]
+
+    @staticmethod
+    def settled(text: bytes) -> bytes:
+        """The text with A-Z in lower case, where the normalizer would come to the same.
+
+        It composes letters and marks before it lower-cases, and special tokens
+        come before both, so texts with either stay as they are.
+        """
+        return text if b"<" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
 
 
 _encoders: dict[str, ChunkEncoder] = {}
