@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast up to this many bytes, by its measured size.
 BROADCAST_BYTES = 16 << 20
+#: Bytes of files for each part of a scratch table whose size is foreseen.
+PART_BYTES = 4 << 20
 
 _run = uuid.uuid4().hex[:12]
 _roots: dict[str, SparkSession] = {}
@@ -62,11 +64,19 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 class Scratch:
-    """A table written to the shared folder: lineage ends here, and its size is known."""
+    """A table written to the shared folder: lineage ends here, and its size is known.
 
-    def __init__(self, df: DataFrame, name: str):
+    ``like`` are tables that it is at most about as large as. It is then written
+    in as many parts as their bytes call for, not one for each shuffle partition:
+    many small files are slow to write, and to read in stores of objects.
+    """
+
+    def __init__(self, df: DataFrame, name: str, *like: Scratch):
         self.spark, self.path = df.sparkSession, new_path(df.sparkSession, name)
         schema = df.schema
+        if like:
+            parts = -(-sum(t.bytes() for t in like) // PART_BYTES)
+            df = df.coalesce(max(1, min(parts, shuffle_partitions(self.spark))))
         df.write.parquet(self.path)
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
@@ -74,13 +84,15 @@ class Scratch:
         drop_path(self.spark, self.path)
 
     def bytes(self) -> int:
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        if not hasattr(self, "_bytes"):
+            jvm = self.spark.sparkContext._jvm
+            p = jvm.org.apache.hadoop.fs.Path(self.path)
+            self._bytes = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+        return self._bytes
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    return Scratch(df, name).df
+def saved(df: DataFrame, name: str, *like: Scratch) -> DataFrame:
+    return Scratch(df, name, *like).df
 
 
 def sized(table: Scratch, expansion: int = 4) -> DataFrame:

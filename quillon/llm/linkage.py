@@ -21,18 +21,37 @@ from pyspark.sql import functions as F
 from .common import Scratch, sized
 
 BLOCK = 4096
+#: Buckets that groups are counted in before they are counted one by one.
+COARSE = 1 << 16
 
 
-def in_runs(rows: DataFrame, group: str, node: str, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
+def large_groups(rows: DataFrame, group: str, block: int, *like: Scratch) -> Scratch | None:
+    """(_group, _size) of the groups of more than ``block`` rows; None if there are none.
+
+    Counts go to ``COARSE`` buckets first, where each task sends a row for each
+    bucket at most. Only the groups of buckets with enough rows are counted one
+    by one.
+    """
+    bucket = F.pmod(F.xxhash64(group), F.lit(COARSE)).alias("_bucket")
+    full = Scratch(rows.groupBy(bucket).agg(F.count("*").alias("_n")).where(F.col("_n") > block).select("_bucket"), "full-buckets", *like)
+    if full.df.isEmpty():
+        return None
+    some = rows.select(group).withColumn("_bucket", bucket).join(F.broadcast(full.df), "_bucket", "left_semi")
+    return Scratch(some.groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size")).where(F.col("_size") > block), "large-groups", *like)
+
+
+def in_runs(rows: DataFrame, group: str, node: str, *like: Scratch, sizes: DataFrame | None = None, block: int = BLOCK) -> DataFrame:
     """The rows with ``_group`` and ``_pair``, which together name a run: a group and two of its blocks.
 
     ``sizes`` are rows with the same groups that are cheaper to count. Only the
     groups of more than one block go into a table of their own to join with.
+    ``like`` are tables as large as what is counted.
     """
-    counted = (rows if sizes is None else sizes).groupBy(F.col(group).alias("_group")).agg(F.count("*").alias("_size"))
-    large = Scratch(counted.where(F.col("_size") > block), "large-groups")
-    blocks = F.coalesce(F.ceil(F.col("_size") / block).cast("int"), F.lit(1))
+    large = large_groups(rows if sizes is None else sizes, group, block, *like)
     named = rows.withColumnRenamed(group, "_group")
+    if large is None:
+        return named.withColumn("_pair", F.lit(0).cast("long"))
+    blocks = F.coalesce(F.ceil(F.col("_size") / block).cast("int"), F.lit(1))
     sized_rows = named.join(sized(large), "_group", "left").withColumn("_blocks", blocks).withColumn("_own", F.pmod(F.xxhash64(node), F.col("_blocks")).cast("int"))
     # one block: pair (0, 0); more: all (i, j) with i < j that have it, which also covers the pairs inside i and inside j
     spread = sized_rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).where("_blocks = 1 or _own <> _other")

@@ -86,15 +86,17 @@ def signatures(docs: DataFrame, width: int, coordinates: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, set_md5 binary, signature array<int>")
 
 
-def _candidate_edges(reps: DataFrame, coordinates: int, matches: int, percent: int) -> DataFrame:
+def _candidate_edges(table: Scratch, coordinates: int, matches: int, percent: int) -> DataFrame:
     """A forest (u, v) with the components of all pairs that agree in enough coordinates and could be near enough in size."""
+    reps = table.df
     element = (F.col("at").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("element")
     posted = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", element)
-    common = posted.groupBy("element").agg(F.count("*").alias("df")).where("df > 1")
+    # written down, so that the join's sides are plain and a value that very many documents share can be split
+    common = sized(Scratch(posted.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "common-values", table))
     # each list has at most one entry for each coordinate
     lists = posted.join(common, "element").groupBy("doc_id").agg(F.collect_list(F.struct("df", "element")).alias("met")).where(F.size("met") >= matches)
     prefix = F.slice(F.array_sort("met"), F.lit(1), F.size("met") - F.lit(matches - 1))
-    survivors = saved(reps.join(lists.select("doc_id", prefix.alias("prefix")), "doc_id"), "survivors")
+    survivors = saved(reps.join(lists.select("doc_id", prefix.alias("prefix")), "doc_id"), "survivors", table)
     postings = survivors.select("doc_id", "n_shingles", "signature", F.explode("prefix.element").alias("element"))
 
     def link(rows: pa.RecordBatch) -> list[tuple]:
@@ -109,7 +111,7 @@ def _candidate_edges(reps: DataFrame, coordinates: int, matches: int, percent: i
 
         return [(int(nodes[a]), int(nodes[b])) for a, b in search(len(nodes), np.arange(len(nodes)), match)]
 
-    runs = in_runs(postings, "element", "doc_id")
+    runs = in_runs(postings, "element", "doc_id", table)
     return forest(runs, ["doc_id", "n_shingles", "signature"], link, "u long, v long")
 
 
@@ -150,24 +152,25 @@ def _confirmed_edges(docs: DataFrame, groups: Scratch, width: int, coordinates:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = texts.join(sized(groups), "doc_id").select("doc_id", "component", "text", "set_md5")
     members = wanted.mapInArrow(sets, "doc_id long, component long, set_md5 binary, signature binary, shingles binary").dropDuplicates(["doc_id", "set_md5"])
-    return forest(in_runs(members, "component", "doc_id", groups.df), ["doc_id", "signature", "shingles"], link, "u long, v long")
+    return forest(in_runs(members, "component", "doc_id", groups, sizes=groups.df), ["doc_id", "signature", "shingles"], link, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; linked are sets with 100 * intersection >= percent * union."""
-    rows = saved(signatures(docs, width, coordinates), "signatures")
+    table = Scratch(signatures(docs, width, coordinates), "signatures")
+    rows = table.df
     # the members of a class: rows of one set, named after its smallest doc_id
-    classes = rows.where("set_md5 is not null and doc_id is not null").groupBy("set_md5").agg(F.min("doc_id").alias("class"))
-    named = saved(rows.drop("signature").join(classes, "set_md5", "left"), "classes")
-    reps = saved(classes.withColumnRenamed("class", "doc_id").join(rows, ["doc_id", "set_md5"]).dropDuplicates(["doc_id", "set_md5"]), "representatives")
-    candidates = connected_components(_candidate_edges(reps.select("doc_id", "n_shingles", "signature"), coordinates, matches, percent))
-    groups = Scratch(candidates.select(F.col("node").alias("doc_id"), "component").join(reps.select("doc_id", "set_md5"), "doc_id"), "candidates")
+    classes = saved(rows.where("set_md5 is not null and doc_id is not null").groupBy("set_md5").agg(F.min("doc_id").alias("class")), "sets", table)
+    named = saved(rows.drop("signature").join(classes, "set_md5", "left"), "classes", table)
+    reps = Scratch(classes.withColumnRenamed("class", "doc_id").join(rows, ["doc_id", "set_md5"]).dropDuplicates(["doc_id", "set_md5"]).select("doc_id", "set_md5", "n_shingles", "signature"), "representatives", table)
+    candidates = connected_components(_candidate_edges(reps, coordinates, matches, percent), reps)
+    groups = Scratch(candidates.select(F.col("node").alias("doc_id"), "component").join(reps.df.select("doc_id", "set_md5"), "doc_id"), "candidates", reps)
     links = _confirmed_edges(docs, groups, width, coordinates, matches, percent)
     # a doc_id with several sets joins their classes
     spread = named.where("class is not null and class <> doc_id").select(F.col("class").alias("u"), F.col("doc_id").alias("v"))
     twice = named.where("class is not null").groupBy("doc_id").agg(F.countDistinct("class").alias("n")).where("n > 1").select("doc_id")
     joined = spread.join(twice, F.col("v") == F.col("doc_id"), "left_semi")
-    components = Scratch(connected_components(links.unionAll(joined)), "components")
+    components = Scratch(connected_components(links.unionAll(joined), reps), "components", reps)
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "class", "doc_id"))
     final = named.join(sized(components).withColumnRenamed("node", "class"), "class", "left")
     return final.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(False)).alias("kept"))

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, saved, shuffle_partitions
+from .common import Scratch, read_table, saved, shuffle_partitions
 
 SCALE = 1024
 ANNULUS = 512
@@ -122,7 +122,7 @@ def search_part(ids: np.ndarray, rows: np.ndarray, pivot_of: np.ndarray, distanc
         yield int(query_ids[n]), held_ids, held
 
 
-def build_index(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+def build_index(vectors: DataFrame, pivots: np.ndarray) -> Scratch:
     """Rows with pivot, distance and part; written to the shared folder, so parts stay as they are."""
     spark = vectors.sparkSession
 
@@ -139,7 +139,7 @@ def build_index(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
     keyed = saved(vectors.mapInArrow(key, "vec_id long, v binary, pivot int, distance double"), "keyed-vectors")
     parts = max(shuffle_partitions(spark), -(-keyed.count() // PART_ROWS))
     dealt = keyed.repartitionByRange(parts, "pivot", "distance", "vec_id")
-    return saved(dealt.withColumn("part", F.spark_partition_id()), "vector-index")
+    return Scratch(dealt.withColumn("part", F.spark_partition_id()), "vector-index")
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -183,10 +183,12 @@ def top_k(vectors: DataFrame, asked: Column, k: int = 10) -> DataFrame:
     sample = chosen.limit(2 * SAMPLE_ROWS).collect() or vectors.select("v").limit(1).collect()
     if not sample:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    index = build_index(vectors, pivots := choose_pivots(np.array([r["v"] for r in sample], np.float64)))
+    pivots = choose_pivots(np.array([r["v"] for r in sample], np.float64))
+    table = build_index(vectors, pivots)
+    index = table.df
     parts = index.agg(F.max("part")).first()[0] + 1
     own = index.where(asked).groupBy("vec_id").agg(F.min(F.struct("v", "part")).alias("x"))
-    queries = saved(own.select("vec_id", "x.v", F.col("x.part").alias("home")), "queries")
+    queries = saved(own.select("vec_id", "x.v", F.col("x.part").alias("home")), "queries", table)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
 
     def packed(rows: DataFrame, *by: str) -> DataFrame:
