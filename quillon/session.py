@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .plans.frontend import StatementError, summarize
 from .sources import catalog
@@ -37,6 +41,14 @@ class Engine:
         """Makes a lazy view for every table of a database, or for those named."""
         return catalog.attach(self.spark, dsn, tables, **options)
 
+    def register_function(self, name: str, function: Callable[..., object], returns: str) -> None:
+        """A function that SQL can call: on whole pandas series, batch by batch, not row by row."""
+        self.spark.udf.register(name, F.pandas_udf(function, returns))
+
+    def persist(self, name: str) -> DataFrame:
+        """Keeps a table's rows in memory, on disk where memory ends, from its next use on."""
+        return self.spark.table(name).persist(StorageLevel.MEMORY_AND_DISK)
+
     def tables(self) -> list[str]:
         return sorted(t.name for t in self.spark.catalog.listTables())
 

@@ -59,6 +59,20 @@ def test_csv_and_sql(spark, tmp_path):
             engine.sql(change)
 
 
+def test_functions_and_persist(spark):
+    import pandas as pd
+
+    def twice(x: pd.Series) -> pd.Series:
+        return x * 2
+
+    engine = Engine(spark)
+    engine.register_function("twice", twice, "long")
+    spark.range(3).createOrReplaceTempView("kept_t")
+    assert engine.persist("kept_t").is_cached
+    assert [r[0] for r in engine.sql("select twice(id) from kept_t order by 1").collect()] == [0, 2, 4]
+    spark.catalog.uncacheTable("kept_t")
+
+
 def test_extract(spark, tmp_path):
     tables = {"a": spark.range(3), "b": spark.range(0)}
     assert extract_tables(spark, "", ["a", "b"], str(tmp_path), tables.__getitem__) == {"a": 3, "b": 0}
