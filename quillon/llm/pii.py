@@ -235,11 +235,12 @@ def _entities(docs: DataFrame) -> DataFrame:
     return docs.select(F.xxhash64("text").alias("row"), "text").where("text is not null").mapInArrow(run, "row long, kind string, value string")
 
 
-def collisions(entities: DataFrame, key: bytes, most_tries: int = 30) -> DataFrame:
+def collisions(entities: DataFrame, key: bytes, *like: Scratch, most_tries: int = 30) -> DataFrame:
     """kind, value and attempt of the entities that need another try than the first.
 
     ``entities`` are distinct. Of those with one surrogate the smallest keeps it,
-    unless it is an entity of the corpus itself. Given names are few and their
+    unless it is an entity of the corpus itself. ``like`` are tables as large as
+    they are. Given names are few and their
     surrogates a permutation, so they may stand for one another.
     """
 
@@ -254,19 +255,19 @@ def collisions(entities: DataFrame, key: bytes, most_tries: int = 30) -> DataFra
 
     own = entities.where("not startswith(kind, 'given:')")
     real = own.select("kind", F.col("value").alias("surrogate"))
-    state = Scratch(tried(own.withColumn("attempt", F.lit(0))), "surrogates")
+    state = Scratch(tried(own.withColumn("attempt", F.lit(0))), "surrogates", *like)
     for _ in range(most_tries):
         taken = state.df.join(real, ["kind", "surrogate"], "left_semi").select("kind", "surrogate", F.lit(None).cast("string").alias("keeper"))
         # the keeper of a surrogate is whoever has had it longest, then the smallest
         shared = state.df.groupBy("kind", "surrogate").agg(F.count("*").alias("n"), F.min(F.struct("attempt", "value")).alias("first")).where("n > 1").select("kind", "surrogate", F.col("first.value").alias("keeper"))
-        bad = Scratch(shared.unionAll(taken.distinct()).groupBy("kind", "surrogate").agg(F.when(F.count("*") == F.count("keeper"), F.min("keeper")).alias("keeper")), "collisions")
+        bad = Scratch(shared.unionAll(taken.distinct()).groupBy("kind", "surrogate").agg(F.when(F.count("*") == F.count("keeper"), F.min("keeper")).alias("keeper")), "collisions", *like)
         if bad.df.isEmpty():
             break
         again = F.col("hit").isNotNull() & ~F.coalesce(F.col("keeper") == F.col("value"), F.lit(False))
         marked = state.df.join(sized(bad).withColumn("hit", F.lit(1)), ["kind", "surrogate"], "left").withColumn("again", again)
         fine = marked.where(~F.col("again")).select("kind", "value", "attempt", "surrogate")
         next_tries = tried(marked.where("again").withColumn("attempt", (F.col("attempt") + 1).cast("int")))
-        after = Scratch(fine.unionAll(next_tries), "surrogates")
+        after = Scratch(fine.unionAll(next_tries), "surrogates", *like)
         state.drop()
         state = after
     else:
@@ -296,14 +297,14 @@ def replaced(text: str, key: Surrogates, tries: dict[tuple[str, str], int]) -> t
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with surrogates in text, and n_entities (long) and entities (kind, start, end in the new text)."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
-    found = saved(_entities(texts), "entities")
-    entities = saved(found.select("kind", "value").distinct(), "distinct-entities")
-    exceptions = Scratch(collisions(entities, key), "exceptions")
+    table = Scratch(_entities(texts), "entities")
+    found = table.df
+    entities = saved(found.select("kind", "value").distinct(), "distinct-entities", table)
+    exceptions = Scratch(collisions(entities, key, table), "exceptions", table)
     tries = found.join(sized(exceptions), ["kind", "value"]).groupBy("row").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("__pii_tries"))
-    patches = Scratch(tries.withColumnRenamed("row", "__pii_row"), "patches")
+    patches = Scratch(tries.withColumnRenamed("row", "__pii_row"), "patches", table)
     own = [c for c in docs.columns if c not in ("n_entities", "entities")]
-    table = sized(patches)
-    joined = docs.select(*own).withColumn("text", F.col("text").cast("string")).join(table, F.xxhash64("text") == F.col("__pii_row"), "left").drop("__pii_row")
+    joined = docs.select(*own).withColumn("text", F.col("text").cast("string")).join(sized(patches), F.xxhash64("text") == F.col("__pii_row"), "left").drop("__pii_row")
     at = joined.columns.index("text")
     tries_at = joined.columns.index("__pii_tries")
     empty = {"text": F.lit(None).cast("string"), "n_entities": F.lit(None).cast("long"), "entities": F.lit(None).cast("array<struct<kind:string,start:int,end:int>>")}
