@@ -42,28 +42,36 @@ FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in code
 LETTER = re.compile(r"[^\W\d_]")
 
 
-def features(text: str) -> np.ndarray:
-    """Square roots of the shares of hashed byte trigrams; a unit vector."""
+def trigram_counts(text: str) -> np.ndarray:
+    """How often each bucket of hashed byte trigrams occurs in the whole lower-cased text."""
     raw = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
     if len(raw) < 3:
         raw = np.resize(raw, 3)
     hashed = (raw[:-2] * np.uint32(0x9E3779B1) + raw[1:-1] * np.uint32(0x85EBCA77) + raw[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F) >> np.uint32(20)
-    count = np.bincount(hashed.astype(np.int64), minlength=BUCKETS)
-    return np.sqrt(count / len(hashed))
+    return np.bincount(hashed.astype(np.int64), minlength=BUCKETS)
+
+
+def features(text: str) -> np.ndarray:
+    """Square roots of the shares of the buckets; a unit vector."""
+    count = trigram_counts(text)
+    return np.sqrt(count / count.sum())
 
 
-def train_machine(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 15) -> np.ndarray:
-    """Weights and bias of a linear support vector machine (y is +1 or -1), by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
-    upper, norm = cost * weight, (x * x).sum(axis=1)
-    alpha, w = np.zeros(len(x)), np.zeros(x.shape[1])
+def train_machine(x: np.ndarray, rows: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 15) -> np.ndarray:
+    """Weights and bias of a linear support vector machine over some rows of x (y is +1 or -1), by dual coordinate descent."""
+    balance = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())) * len(y)
+    upper = cost * balance
+    norm = np.array([float(x[k] @ x[k]) + 1 for k in rows])
+    alpha, w = np.zeros(len(rows)), np.zeros(x.shape[1] + 1)
     rng = np.random.default_rng(7)
     for _ in range(epochs):
-        for i in rng.permutation(len(x)):
-            step = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / norm[i], 0.0), upper[i])
+        for i in rng.permutation(len(rows)):
+            row = x[rows[i]].astype(np.float64)
+            step = min(max(alpha[i] - (y[i] * (row @ w[:-1] + w[-1]) - 1) / norm[i], 0.0), upper[i])
             if step != alpha[i]:
-                w += (step - alpha[i]) * y[i] * x[i]
+                move = (step - alpha[i]) * y[i]
+                w[:-1] += move * row
+                w[-1] += move
                 alpha[i] = step
     return w
 
@@ -77,13 +85,14 @@ class Level:
     weights: np.ndarray | None = None
 
     @classmethod
-    def fit(cls, x: np.ndarray, labels: np.ndarray) -> Level:
+    def fit(cls, x: np.ndarray, rows: np.ndarray, labels: np.ndarray) -> Level:
+        """From the given rows of x, which have these labels."""
         names = sorted(set(labels.tolist()))
         pairs = [(a, b) for a in range(len(names)) for b in range(a + 1, len(names))]
         machines = []
         for a, b in pairs:
             mine = (labels == names[a]) | (labels == names[b])
-            machines.append(train_machine(x[mine], np.where(labels[mine] == names[a], 1.0, -1.0)))
+            machines.append(train_machine(x, rows[mine], np.where(labels[mine] == names[a], 1.0, -1.0)))
         return cls(names, pairs, np.array(machines) if machines else None)
 
     def predict(self, x: np.ndarray) -> tuple[str, float]:
@@ -112,7 +121,8 @@ class LanguageModel:
             return None
         names = np.array(langs, object)
         family = np.array([FAMILY_OF.get(code, code) for code in langs], object)
-        return cls(Level.fit(x, family), {f: Level.fit(x[family == f], names[family == f]) for f in sorted(set(family.tolist()))})
+        rows = np.arange(len(langs))
+        return cls(Level.fit(x, rows, family), {f: Level.fit(x, rows[family == f], names[family == f]) for f in sorted(set(family.tolist()))})
 
     def predict(self, text: str) -> tuple[str, float]:
         x = features(text)
@@ -145,7 +155,7 @@ def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [(lang, mix, features(text).astype(np.float32).tobytes()) for lang, mix, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if LETTER.search(text)]
+            own = [(lang, mix, _packed(trigram_counts(text))) for lang, mix, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if LETTER.search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.string()), pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.binary())], names=["lang", "mix", "x"])
 
     found = sample.select("lang", "mix", F.col("text").cast("string")).mapInArrow(featurise, "lang string, mix long, x binary").orderBy("mix", "lang", "x").limit(2 * rows_per_language * len(counts)).collect()
@@ -153,11 +163,21 @@ def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000)
     for row in found:
         if len(own := chosen.setdefault(row["lang"], [])) < rows_per_language:
             own.append(row["x"])
+    del found
     langs = [lang for lang, own in sorted(chosen.items()) for _ in own]
-    x = np.array([np.frombuffer(v, np.float32) for _, own in sorted(chosen.items()) for v in own], np.float64)
+    x = np.zeros((len(langs), BUCKETS), np.float32)
+    for row, packed in zip(x, (v for _, own in sorted(chosen.items()) for v in own), strict=True):
+        pairs = np.frombuffer(packed, "<u4").reshape(2, -1)
+        row[pairs[0]] = np.sqrt(pairs[1] / pairs[1].sum())
     return LanguageModel.fit(x, langs)
 
 
+def _packed(count: np.ndarray) -> bytes:
+    """The buckets that occur, then their counts."""
+    at = np.flatnonzero(count)
+    return np.concatenate([at, count[at]]).astype("<u4").tobytes()
+
+
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The documents with lang_pred and score; their own columns of these names are replaced."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
