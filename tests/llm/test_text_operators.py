@@ -282,3 +282,24 @@ def test_pipeline(spark):
     packed = pipeline.run(spark, SMALL)
     assert packed.select("doc_id").distinct().count() == counts[-1]
     assert [name for name, _ in pipeline.STAGES] == ["language ID", "line dedup", "MinHash near-dedup", "PII", "packing"]
+
+
+def test_pipeline_edge_cases(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(6)
+    words = {"en": "the house and garden with river stone light".split(), "de": "das haus und der garten mit dem fluss".split()}
+    rows = [(k, " ".join(r.choices(words[lang], k=60)) + f"\n{k} mail me at person{k}@mail.example.com please now", lang, "s", 0) for k in range(60) for lang in [("en", "de")[k % 2]]]
+    rows += [(100, rows[0][1], "en", None, None), (0, rows[0][1], "en", "s", 0), (101, None, None, None, None), (102, "", "en", "s", 0), (103, "!!! 123", "en", "s", 0), (None, "the house and the garden alone", "en", "s", 0), (104, "the river " * 30_000, None, "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = read_table(spark, str(tmp_path), "documents")
+    found = pipeline.run(spark, str(tmp_path))
+    ids = {x.doc_id for x in found.select("doc_id").distinct().collect()}
+    assert ids == {*range(60), None, 104}
+    assert found.where("doc_id = 104").agg(F.sum("length")).first()[0] > 50_000
+    once = pipeline.language(spark, docs, str(tmp_path))
+    assert once.columns == docs.columns and once.where("doc_id in (101, 102, 103)").count() == 0
+    texts = pipeline.personal_data(spark, once, str(tmp_path)).select("text").collect()
+    assert not any("person7@mail.example.com" in x.text for x in texts)
+    empty = docs.limit(0)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, empty, str(tmp_path)).count() == 0

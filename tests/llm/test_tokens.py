@@ -28,7 +28,9 @@ def odd_texts(count=1500):
     words = ["<|endoftext|>", "<|STARTOFTEXT|>", "<|startoftext|>", "don't", "WE'VE", "ﬁn", "Ⅷ", "ª", "µ", "×", "÷"]
     plain = ["".join(r.choice(signs) for _ in range(r.randint(0, 60))) for _ in range(count)]
     mixed = [" ".join(r.choice([*words, "the", "The,", "abc123"]) for _ in range(r.randint(1, 9))) for _ in range(count // 3)]
-    return ["", " ", "a" * 3000, *plain, *mixed]
+    latin = ["".join(r.choice("aBzéÀß ,. ,. \n\t'!x9×÷_-") for _ in range(r.randint(0, 40))) for _ in range(count * 2)]
+    prose = [" ".join(r.choice(["The", "end.", "mère,", "it's,", "3.", "U.S.", "(so)", "a.b", "no!."]) for _ in range(r.randint(1, 12))) + r.choice(["", ".", ",\n", ".\r\n"]) for _ in range(count)]
+    return ["", " ", "a" * 3000, *plain, *mixed, *latin, *prose]
 
 
 def library(path):
