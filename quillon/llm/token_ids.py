@@ -4,8 +4,8 @@ The normalizer and pre-tokenizer of the word-level BPE file never join text
 across ASCII white space, so a text's ids are the ids of its chunks between
 white space, one after the other. Chunks are remembered up to a bound. A new
 chunk of plain Latin letters, digits and ASCII signs is cut into its words here
-and only the words not seen before go to the library's model; any other chunk
-goes through the whole library.
+and the words go to the library's model; any other chunk goes through the whole
+library.
 """
 
 from __future__ import annotations
@@ -18,9 +18,16 @@ import numpy as np
 #: Chunks that no normalizer step but lower-casing changes, without the apostrophes that have a rule of their
 #: own and the sign that special tokens start with.
 PLAIN = re.compile("[!-&(-;=-~À-ÖØ-öø-ÿ]+")
+#: One word of small letters.
+SMALL = re.compile("[a-zß-öø-ÿ]+")
 #: The words of such a chunk: runs of letters, single digits, runs of signs.
 WORDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
+#: Bytes of ASCII and of U+00C0 to U+00FF; those but two are letters.
+LATIN = bytes([*range(0xC0), 0xC3])
+#: What kind each byte is: "a" letters and digits, " " white space, "." signs.
+SHAPE = bytes(ord("a") if b >= 0x80 or chr(b).isalnum() else ord(" ") if b in b" \t\n\x0b\x0c\r" else ord(".") for b in range(256))
+
 
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
@@ -50,7 +57,7 @@ class Remembered(dict):
 class ChunkEncoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids with the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 250_000):
+    def __init__(self, path: str, limit: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -62,18 +69,21 @@ class ChunkEncoder:
         if any(PLAIN.fullmatch(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
             raise ValueError("special tokens must have a sign that plain chunks don't have")
         self.alphabet = dict(enumerate(byte_alphabet()))
-        self.model = self.tokenizer.model
+        self.tokenize = self.tokenizer.model.tokenize
+        self.raw_ids = [k.to_bytes(4, "little") for k in range(self.tokenizer.get_vocab_size())]
         self.chunks = Remembered(self.chunk_ids, limit, 48)
-        self.words = Remembered(self.word_ids, limit, 32)
 
     def word_ids(self, word: str) -> bytes:
         coded = word if word.isascii() else word.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(coded)], "<u4").tobytes()
+        raw = self.raw_ids
+        return b"".join([raw[t.id] for t in self.tokenize(coded)])
 
     def chunk_ids(self, chunk: bytes) -> bytes:
         text = chunk.decode()
+        if SMALL.fullmatch(text):
+            return self.word_ids(text)
         if PLAIN.fullmatch(text):
-            return b"".join(map(self.words.__getitem__, WORDS.findall(text.lower())))
+            return b"".join(map(self.word_ids, WORDS.findall(text.lower())))
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, texts: list[bytes | None]) -> list[bytes]:
@@ -83,12 +93,19 @@ class ChunkEncoder:
 
     @staticmethod
     def settled(text: bytes) -> bytes:
-        """The text with A-Z in lower case, where the normalizer would come to the same.
+        """The text in a form with the same ids and fewer kinds of chunks.
 
-        It composes letters and marks before it lower-cases, and special tokens
-        come before both, so texts with either stay as they are.
+        Where all characters are ASCII or small and capital Latin letters, and
+        no special token can occur, A-Z are put in lower case, as the normalizer
+        would; and a blank goes before each comma or full stop that ends a chunk,
+        if no sign stands before any of them, so that it is a word of its own.
         """
-        return text if b"<" in text or b"\xcc" in text or b"\xcd" in text else text.lower()
+        if b"<" in text or text.translate(None, LATIN) or b"\xc3\x97" in text or b"\xc3\xb7" in text:
+            return text
+        text = text.lower()
+        if b".. " in text.translate(SHAPE):
+            return text
+        return text.replace(b", ", b" , ").replace(b". ", b" . ").replace(b".\n", b" .\n").replace(b",\n", b" ,\n")
 
 
 _encoders: dict[str, ChunkEncoder] = {}
