@@ -10,7 +10,7 @@ from quillon.llm import common
 def test_scratch_is_written_below_the_checkpoint_folder(spark):
     table = common.Scratch(spark.range(100).repartition(7), "t")
     assert table.path.startswith(spark.conf.get("spark.checkpoint.dir").rstrip("/") + "/quillon-")
-    assert table.bytes() > 0 and table.df.count() == 100 and table.df.schema == spark.range(1).schema
+    assert table.bytes() > 0 and table.df.count() == 100 and table.df.dtypes == [("id", "bigint")]
     few = common.Scratch(spark.range(100).repartition(7), "t", table)
     assert few.df.rdd.getNumPartitions() == 1
     table.drop()
