@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -32,7 +33,7 @@ def scratch_root(spark: SparkSession) -> str:
     Only a local master without that setting gets a temporary folder of its own.
     """
     sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir")
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not base:
         if not sc.master.startswith("local[") and sc.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
@@ -108,10 +109,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Small slices of the batches, so that Python objects exist for few rows at a time."""
+    """Small slices of the batches, so that Python objects exist for few rows at a time.
+
+    At the end, memory that is free goes back to the system: the worker lives on
+    for other tasks, beside others and a JVM.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
             yield batch.slice(at, rows)
+        del batch
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
+def _libc_trim():  # noqa: ANN202
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):  # not this C library
+        return None
+
+
+_trim = _libc_trim()
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -122,7 +141,7 @@ def as_bytes(column: pa.Array) -> list[bytes | None]:
 class WordHashes(dict):
     """64-bit hashes of words, kept for the words seen most recently."""
 
-    LIMIT, LONGEST = 400_000, 64
+    LIMIT, LONGEST = 150_000, 64
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh3_64_intdigest(word)

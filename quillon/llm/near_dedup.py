@@ -92,7 +92,7 @@ def _candidate_edges(table: Scratch, coordinates: int, matches: int, percent: in
     element = (F.col("at").cast("long") * F.lit(1 << 32) + F.col("value").cast("long")).alias("element")
     posted = reps.select("doc_id", F.posexplode("signature").alias("at", "value")).select("doc_id", element)
     # written down, so that the join's sides are plain and a value that very many documents share can be split
-    common = sized(Scratch(posted.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "common-values", table))
+    common = saved(posted.groupBy("element").agg(F.count("*").alias("df")).where("df > 1"), "common-values", table)
     # each list has at most one entry for each coordinate
     lists = posted.join(common, "element").groupBy("doc_id").agg(F.collect_list(F.struct("df", "element")).alias("met")).where(F.size("met") >= matches)
     prefix = F.slice(F.array_sort("met"), F.lit(1), F.size("met") - F.lit(matches - 1))

@@ -57,7 +57,7 @@ class Remembered(dict):
 class ChunkEncoder:
     """Encodes UTF-8 texts to little-endian unsigned 32-bit ids with the tokenizers library."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 150_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
