@@ -30,7 +30,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the lines that came before; those of which nothing is left go."""
     found = line_dedup.dedup_lines(docs)
-    return _with_length(found.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"\w")), docs.columns)
+    return _with_length(found.where((F.col("n_lines_removed") == 0) | F.col("text").rlike(r"[\p{L}\p{M}\p{N}_]")), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

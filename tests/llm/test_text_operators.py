@@ -303,3 +303,12 @@ def test_pipeline_edge_cases(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_keeps_text_of_any_script(spark):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    shared = "one line that stands in front of every document"
+    own = ["Москва стоит на берегу реки", "Η Αθήνα είναι μεγάλη πόλη", "القاهرة مدينة كبيرة جدا", "दिल्ली एक बड़ा शहर है", "北京是一座古老的城市", "--- !!! ---"]
+    rows = [(0, shared, "x", "s", 1), *((k, f"{shared}\n{line}", "x", "s", 1) for k, line in enumerate(own, 1))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id: r.text for r in pipeline.lines(spark, frame, SMALL).collect()} == {0: shared, **dict(enumerate(own[:-1], 1))}
