@@ -22,8 +22,11 @@ def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language; those without text or any letter go."""
-    found = language_id.predict(docs, language_id.fit(docs))
+    """Documents in a language; those without text or any letter go, and no others if no row can be learned from."""
+    model = language_id.fit(docs)
+    if model is None:
+        return docs.where(language_id.has_letter(F.col("text").cast("string")))
+    found = language_id.predict(docs, model)
     return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
 
 

@@ -137,6 +137,11 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
     return F.coalesce(F.crc32(column.cast("string").cast("binary")) % 4 == 2, F.lit(True))
 
 
+def has_letter(text: Column) -> Column:
+    """Whether ``LETTER`` is found in a text; false for null."""
+    return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+
+
 def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000) -> LanguageModel | None:
     """A model from at most ``rows_per_language`` rows of each language, ``most_rows`` in all.
 

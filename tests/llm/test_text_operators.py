@@ -312,3 +312,17 @@ def test_pipeline_keeps_text_of_any_script(spark):
     rows = [(0, shared, "x", "s", 1), *((k, f"{shared}\n{line}", "x", "s", 1) for k, line in enumerate(own, 1))]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id: r.text for r in pipeline.lines(spark, frame, SMALL).collect()} == {0: shared, **dict(enumerate(own[:-1], 1))}
+
+
+def test_pipeline_without_labels(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    r = random.Random(4)
+    texts = [" ".join(r.choices("the house and garden with river stone light".split(), k=40)) for _ in range(6)]
+    rows = [(k, t, None, "s", 1) for k, t in enumerate([*texts, "Москва стоит", "²", None, "", "12 !?"])]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = spark.createDataFrame(rows, schema)
+    assert sorted(x.doc_id for x in pipeline.language(spark, frame, SMALL).collect()) == [*range(8)]
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    assert {x.doc_id for x in pipeline.run(spark, str(tmp_path)).collect()} == {*range(8)}
+    held = frame.withColumn("lang", F.lit("en")).where(language_id.held_out())
+    assert held.count() and pipeline.language(spark, held, SMALL).count() == held.where("doc_id < 8").count()
