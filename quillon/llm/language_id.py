@@ -3,7 +3,7 @@
 A text's family is predicted first, then the language within that family. Both
 levels use one-versus-one linear support vector machines over hashed byte
 trigrams of the whole lower-cased text (square roots of shares). The machines
-are trained on the driver from a bounded, documented sample of labelled rows;
+are trained on the driver from a sample of labelled rows of every language;
 every text is then scored where it is read.
 
 Defined results: ``und`` with score 0 for a null text or one without a letter; a
@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import read_table, slices
@@ -142,18 +142,23 @@ def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
 
 
+#: So many rows of each language are learned from, however many languages there are.
+LEAST_ROWS = 20
+
+
 def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000) -> LanguageModel | None:
-    """A model from at most ``rows_per_language`` rows of each language, ``most_rows`` in all.
+    """A model of every language, from at most ``rows_per_language`` rows of each.
 
-    The rows are those with the smallest hash of their doc_id, among the ones
-    not held out; languages are counted first, so that only about as many rows
-    as asked for are read into features.
+    With more languages than ``most_rows`` has room for, each gets an equal share
+    of them, but ``LEAST_ROWS`` at least. The rows are those with the smallest
+    hash of their doc_id, among the ones not held out; languages are counted
+    first, so that only about as many rows as asked for are read into features.
     """
     rows = docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    most_langs = most_rows // rows_per_language
-    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs).collect()}
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return None
+    rows_per_language = min(rows_per_language, max(LEAST_ROWS, most_rows // len(counts)))
     mix = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30))
     limit = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, int(min(1.0, (1.5 * rows_per_language + 20) / n) * (1 << 30)))])
     sample = rows.withColumn("mix", mix).where(F.col("mix") < F.element_at(limit, F.col("lang")))
@@ -163,11 +168,12 @@ def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000)
             own = [(lang, mix, _packed(trigram_counts(text))) for lang, mix, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if LETTER.search(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.string()), pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.binary())], names=["lang", "mix", "x"])
 
-    found = sample.select("lang", "mix", F.col("text").cast("string")).mapInArrow(featurise, "lang string, mix long, x binary").orderBy("mix", "lang", "x").limit(2 * rows_per_language * len(counts)).collect()
+    # in each language for itself: a rare one's rows may all come after the others'
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("mix", "x"))
+    found = sample.select("lang", "mix", F.col("text").cast("string")).mapInArrow(featurise, "lang string, mix long, x binary").withColumn("place", place).where(F.col("place") <= rows_per_language).orderBy("lang", "place").collect()
     chosen: dict[str, list[bytes]] = {}
     for row in found:
-        if len(own := chosen.setdefault(row["lang"], [])) < rows_per_language:
-            own.append(row["x"])
+        chosen.setdefault(row["lang"], []).append(row["x"])
     del found
     langs = [lang for lang, own in sorted(chosen.items()) for _ in own]
     x = np.zeros((len(langs), BUCKETS), np.float32)

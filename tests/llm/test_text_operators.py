@@ -326,3 +326,14 @@ def test_pipeline_without_labels(spark, tmp_path):
     assert {x.doc_id for x in pipeline.run(spark, str(tmp_path)).collect()} == {*range(8)}
     held = frame.withColumn("lang", F.lit("en")).where(language_id.held_out())
     assert held.count() and pipeline.language(spark, held, SMALL).count() == held.where("doc_id < 8").count()
+
+
+def test_every_language_is_learned(spark, tmp_path):
+    r = random.Random(8)
+    words = {f"x{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(48)}
+    # the last ones are the rarest
+    rows = [(n, " ".join(r.choices(words[lang], k=25)), lang) for n, lang in enumerate(lang for k, lang in enumerate(words) for _ in range(30 - k // 4))]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    found = {x.doc_id: x.lang_pred for x in language_id.query(spark, str(tmp_path)).collect()}
+    assert {found[n] for n, _, _ in rows} == set(words)
+    assert sum(found[n] == lang for n, _, lang in rows) >= 0.97 * len(rows)
