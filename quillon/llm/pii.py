@@ -199,14 +199,15 @@ class Surrogates:
             names = GIVEN[script, gender]
             return names[self.number(label, names.index(value), len(names))]
         if kind.startswith("surname:"):
-            return self.surname(label, value, kind.split(":")[1])
+            return self.surname(label, value, kind.split(":")[1], attempt)
         return self.form(label, value)
 
-    def surname(self, label: str, value: str, script: str) -> str:
-        raw = hashlib.blake2b(f"{label}|{value.lower()}".encode(), key=self.key, digest_size=8).digest()
+    def surname(self, label: str, value: str, script: str, attempt: int = 0) -> str:
+        raw = hashlib.blake2b(f"{label}|{value.lower()}".encode(), key=self.key, digest_size=min(8 + attempt, 64)).digest()
         number, syllables, ends = int.from_bytes(raw, "big"), SYLLABLES[script], SURNAME_END[script]
         out = ""
-        for _ in range(3 if len(value) < 9 else 4):
+        # a syllable more with each try: there are always more surnames than entities left
+        for _ in range((3 if len(value) < 9 else 4) + attempt):
             number, at = divmod(number, len(syllables))
             out += syllables[at]
         out += ends[number % len(ends)]

@@ -337,3 +337,11 @@ def test_every_language_is_learned(spark, tmp_path):
     found = {x.doc_id: x.lang_pred for x in language_id.query(spark, str(tmp_path)).collect()}
     assert {found[n] for n, _, _ in rows} == set(words)
     assert sum(found[n] == lang for n, _, lang in rows) >= 0.97 * len(rows)
+
+
+def test_more_surnames_than_short_surrogates(spark):
+    most = len(pii.SYLLABLES["greek"]) ** 3 * len(pii.SURNAME_END["greek"])
+    values = spark.range(most + 9_000).select(F.lit("surname:greek").alias("kind"), F.concat(F.lit("n"), F.col("id")).alias("value"))
+    tries = {r.value: r.attempt for r in pii.collisions(values, b"k").collect()}
+    s = pii.Surrogates(b"k")
+    assert len({s.of("surname:greek", f"n{k}", tries.get(f"n{k}", 0)).lower() for k in range(most + 9_000)}) == most + 9_000
