@@ -230,3 +230,18 @@ def test_near_dedup_on_the_small_tables(spark):
     rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     found = sorted(map(tuple, near_dedup.near_duplicates(docs, 3, 85, 48, 28).collect()), key=repr)
     assert found == near_model(rows, 3, 85)
+
+
+def test_equal_lines_of_any_script_are_one(spark):
+    lines = ["a,b,c,d,e", "x/y/z/w", "https://www.example.com/some/long/path", "state-of-the-art", "北京是一座历史悠久的城市", "これは長い日本語の文章です", "กรุงเทพมหานครเป็นเมืองหลวง", "“He said” – yes, it’s so…", "Donaudampfschifffahrtsgesellschaft"]
+    short = ["Introduction", "关于我们", "one two", "★ ★ ★ ★ ★"]
+    rows = [(1, "\n".join(lines + short)), (2, "\n".join(lines + short)), (3, '"He said" - yes, it\'s so...'), (4, "की कि का के को"), (5, "क क क क क")]
+    found = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == {1: (rows[0][1], 0), 2: ("\n".join(short), len(lines)), 3: ("", 1), 4: (rows[3][1], 0), 5: (rows[4][1], 0)}
+
+
+def test_words_are_cut_alike_with_and_without_other_scripts():
+    r = random.Random(3)
+    for _ in range(300):
+        text = "".join(chr(r.randrange(128)) for _ in range(60))
+        assert line_dedup.plain_lines(text + "\né") == [*line_dedup.plain_lines(text), ["é".encode()]]
