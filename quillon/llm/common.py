@@ -6,13 +6,14 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A side of a join is broadcast up to this many bytes, by its measured size.
 BROADCAST_BYTES = 16 << 20
@@ -27,6 +28,23 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def named(column: str) -> Column:
+    """A column by its whole name, which may hold dots or backticks."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType) -> DataFrame:
+    """``mapInArrow`` for columns of any name: inside, they go by their places."""
+    names = [f"c{k}" for k in range(len(schema))]
+
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in run(batches):
+            yield pa.RecordBatch.from_arrays(batch.columns, names=names)
+
+    plain = T.StructType([T.StructField(name, f.dataType) for name, f in zip(names, schema, strict=True)])
+    return df.toDF(*[f"c{k}" for k in range(len(df.columns))]).mapInArrow(renamed, plain).toDF(*schema.names)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This run's folder under ``spark.checkpoint.dir``.
 

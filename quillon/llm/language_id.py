@@ -6,9 +6,13 @@ trigrams of the whole lower-cased text (square roots of shares). The machines
 are trained on the driver from a sample of labelled rows of every language;
 every text is then scored where it is read.
 
-Defined results: ``und`` with score 0 for a null text or one without a letter; a
-null doc_id is carried and never learned from; if no row can be learned from,
-every text is ``und``; other columns are ignored.
+Defined results: ``und`` with score 0 for a null text or one without a letter
+(numerals such as ½ or ② are none); a null doc_id is carried and never learned
+from; if no row can be learned from, every text is ``und``; rows that repeat, and
+texts that repeat under other labels, are learned from and answered each for
+itself; an empty table gives an empty one; other columns are carried, but
+lang_pred and score are replaced. A text of any length becomes one vector of
+``BUCKETS`` counts, in memory a few times its size.
 """
 
 from __future__ import annotations
@@ -21,8 +25,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import read_table, slices
+from .common import map_batches, named, read_table, slices
 
 BUCKETS = 4096
 UNKNOWN = "und"
@@ -39,7 +44,12 @@ FAMILIES = {
     "sinitic": "zh yue wuu".split(),
 }
 FAMILY_OF = {code: family for family, codes in FAMILIES.items() for code in codes}
-LETTER = re.compile(r"[^\W\d_]")
+_maybe_letter = re.compile(r"[^\W\d_]")
+
+
+def lettered(text: str) -> bool:
+    """Whether a text has a letter of any script."""
+    return any(m.group().isalpha() for m in _maybe_letter.finditer(text))
 
 
 def trigram_counts(text: str) -> np.ndarray:
@@ -138,8 +148,8 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 
 
 def has_letter(text: Column) -> Column:
-    """Whether ``LETTER`` is found in a text; false for null."""
-    return F.coalesce(text.rlike(r"[\p{L}\p{Nl}\p{No}]"), F.lit(False))
+    """Whether a text has a letter, as ``lettered`` says; false for null."""
+    return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
 #: So many rows of each language are learned from, however many languages there are.
@@ -165,7 +175,7 @@ def fit(docs: DataFrame, rows_per_language: int = 500, most_rows: int = 20_000)
 
     def featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            own = [(lang, mix, _packed(trigram_counts(text))) for lang, mix, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if LETTER.search(text)]
+            own = [(lang, mix, _packed(trigram_counts(text))) for lang, mix, text in zip(*(c.to_pylist() for c in batch.columns), strict=True) if lettered(text)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in own], pa.string()), pa.array([r[1] for r in own], pa.int64()), pa.array([r[2] for r in own], pa.binary())], names=["lang", "mix", "x"])
 
     # in each language for itself: a rare one's rows may all come after the others'
@@ -192,15 +202,15 @@ def _packed(count: np.ndarray) -> bytes:
 def predict(docs: DataFrame, model: LanguageModel | None) -> DataFrame:
     """The documents with lang_pred and score; their own columns of these names are replaced."""
     own = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    schema = docs.select(*own).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = T.StructType([docs.schema[c] for c in own]).add("lang_pred", "string").add("score", "double")
     at = own.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            found = [model.predict(t) if model and t and LETTER.search(t) else (UNKNOWN, 0.0) for t in batch.column(at).to_pylist()]
+            found = [model.predict(t) if model and t and lettered(t) else (UNKNOWN, 0.0) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[*batch.schema.names, "lang_pred", "score"])
 
-    return docs.select(*own).mapInArrow(run, schema)
+    return map_batches(docs.select(*map(named, own)), run, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

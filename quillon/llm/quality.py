@@ -9,11 +9,16 @@ and nothing is learned from it.
 
 Defined results: a null or empty text has no words, so it fails the base rules;
 a null doc_id is carried; repeated rows are judged each for itself; other columns
-are ignored; an empty table gives an empty result.
+are ignored; an empty table gives an empty result. A text of any length is held
+whole, with eight bytes for each word. Letters (with marks) and capitals are
+counted in characters of any script, as word_chars is. The rule of common words
+calls nothing bad whose letters are mostly of a script it has no words of.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,12 +33,58 @@ WINDOW = 8
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 CAPITALS = bytes(range(65, 91))
-LETTERS = CAPITALS + bytes(range(97, 123)) + bytes(range(128, 256))
+LETTERS = CAPITALS + bytes(range(97, 123))
 #: Frequent words of the languages that the rules know.
-COMMON = "the of and to in is that for with as on it was der die das und ist von mit zu den nicht le la les des et un une est que dans pour el los las una por con del se".split()
-_common = frozenset(w.encode() for w in COMMON)
-
-MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_common", "n_distinct")
+COMMON = {
+    "en": "the of and to in is that for with as on it was",
+    "de": "der die das und ist von mit zu den nicht",
+    "fr": "le la les des et un une est que dans pour",
+    "es": "el los las una por con del se",
+    "pt": "o os uma não em para com",
+    "it": "il di che è non della per sono",
+    "nl": "de het een van dat niet op",
+    "sv, da, no": "och att det som är og jeg av på en",
+    "pl": "i w na się nie jest że",
+    "cs": "a se v je že",
+    "ro": "și în nu este cu la",
+    "tr": "ve bir bu için ile da",
+    "fi": "ja on ei se että",
+    "hu": "az és hogy nem egy",
+    "id": "yang dan di itu dengan untuk",
+    "vi": "và của là có không được",
+    "ru": "и в не на что с как это по",
+    "uk": "і у що на не та з",
+    "el": "και το να του η την με για",
+}
+_common = frozenset(w.encode() for words in COMMON.values() for w in words.split())
+
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letters", "n_upper", "n_common", "n_distinct", "n_other")
+_beyond = re.compile(r"[^\x00-\x7f]+")
+
+
+class _Letters(dict):
+    """For a character beyond ASCII one number that sums: letters and marks, capitals (from bit 21), letters of scripts without words in ``COMMON`` (from bit 42)."""
+
+    def __missing__(self, c: str) -> int:
+        letter = unicodedata.category(c)[0] in "LM"
+        other = letter and not (c < "\u0530" or "\u1e00" <= c < "\u2000")
+        self[c] = value = letter | c.isupper() << 21 | other << 42
+        return value
+
+
+_letters = _Letters()
+
+
+def letters_beyond_ascii(text: str) -> tuple[int, int, int]:
+    """Letters and marks, capitals, and letters of unknown scripts, in characters."""
+    found = [0, 0, 0]
+    if not text.isascii():
+        some = "".join(_beyond.findall(text))
+        for at in range(0, len(some), 1 << 20):
+            total = sum(map(_letters.__getitem__, some[at : at + (1 << 20)]))
+            for k in range(3):
+                found[k] += total >> 21 * k & (1 << 21) - 1
+    return tuple(found)
 
 
 def repeated_words(hashes: np.ndarray, window: int = WINDOW) -> int:
@@ -61,6 +112,7 @@ def measure(text: str | None, words: WordHashes) -> tuple[int, ...]:
     parts = raw.split()
     lines = [line for line in raw.split(b"\n") if line.strip()]
     hashes = words.of(parts)
+    letters, capitals, other = letters_beyond_ascii(text)
     return (
         len(parts),
         len(text) - _count(raw, SPACES),
@@ -68,10 +120,11 @@ def measure(text: str | None, words: WordHashes) -> tuple[int, ...]:
         len(lines) - len(set(lines)),
         repeated_words(hashes),
         len(lines),
-        _count(raw, LETTERS),
-        _count(raw, CAPITALS),
-        sum(map(_common.__contains__, raw.lower().split())),
+        _count(raw, LETTERS) + letters,
+        _count(raw, CAPITALS) + capitals,
+        sum(map(_common.__contains__, (raw.lower() if text.isascii() else text.lower().encode()).split())),
         len(np.unique(hashes)),
+        other,
     )
 
 
@@ -95,7 +148,7 @@ RULES = (
     Rule("repeated_words", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
     Rule("letters", "10 * n_letters < 8 * word_chars", "10 * n_letters >= 9 * word_chars"),
     Rule("capitals", "n_letters > 0 and 10 * n_upper > 4 * n_letters", "n_letters > 0 and 10 * n_upper <= n_letters"),
-    Rule("common_words", "n_words >= 40 and 50 * n_common < n_words", "20 * n_common >= n_words"),
+    Rule("common_words", "n_words >= 40 and 50 * n_common < n_words and 2 * n_other < n_letters", "20 * n_common >= n_words"),
     Rule("variety", "n_words >= 40 and 10 * n_distinct < 2 * n_words", "10 * n_distinct >= 4 * n_words or n_words >= 2000"),
 )
 

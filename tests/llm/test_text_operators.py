@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import unicodedata
 
 import duckdb
 import numpy as np
@@ -76,6 +77,64 @@ def test_quality_keeps_good_and_drops_bad(spark):
     assert judged.where("label = 0 and not kept").count() > 0.7 * judged.where("label = 0").count()
 
 
+def test_letters_are_counted_in_characters():
+    words = WordHashes()
+    of = lambda text: dict(zip(quality.MEASURES, quality.measure(text, words), strict=True))
+    assert of("\U0001f600" * 90)["n_letters"] == 0 and of("\U0001f600" * 90)["word_chars"] == 90
+    assert (of("слово12345")["n_letters"], of("слово12345")["word_chars"], of("СЛОво é")["n_upper"]) == (5, 10, 3)
+    r = random.Random(4)
+    for _ in range(200):
+        text = "".join(chr(r.choice([r.randrange(32, 127), r.randrange(0x80, 0x600), r.randrange(0x900, 0x980), r.randrange(0x4E00, 0x4F00), r.randrange(0x1F600, 0x1F640)])) for _ in range(30))
+        letters = [c for c in text if c.isascii() and c.isalpha() or not c.isascii() and unicodedata.category(c)[0] in "LM"]
+        assert of(text)["n_letters"] == len(letters) and of(text)["n_upper"] == sum(c.isupper() for c in text if c.isascii() and c.isalpha() or not c.isascii()), text
+
+
+def test_rules_of_languages_beyond_the_first(spark):
+    texts = {"sv": "det är en bok och jag har den på ett bord " * 6, "ru": "это не книга и он на столе как в доме " * 6, "hi": "यह एक किताब है और वह मेज पर है " * 8, "th": "คำ " * 60, "ar": "هذا كتاب على الطاولة في البيت " * 10, "junk": "xqz vvb kkw zzt " * 12, "digits": "слово12345 " * 60, "emoji": "\U0001f600 " * 60}
+    judged = quality.judge(spark.createDataFrame([(k, t) for k, t in enumerate(texts.values())], "doc_id long, text string")).collect()
+    by = {name: row for name, row in zip(texts, sorted(judged, key=lambda r: r.doc_id), strict=True)}
+    assert [by[k].vote_common_words for k in ("sv", "ru", "hi", "ar", "junk")] == [1, 1, 0, 0, -1]
+    assert [by[k].vote_letters for k in ("sv", "ru", "hi", "digits", "emoji")] == [1, 1, 1, -1, -1]
+
+
+def slow_quality(rows, rounds=200):
+    """The posterior of each row of votes by EM, a document at a time."""
+    rules, prior = len(rows[0]), 0.8
+    chance = [{g: {-1: (0.2, 0.8)[not g], 0: 0.0, 1: (0.2, 0.8)[g]} for g in (0, 1)} for _ in range(rules)]
+
+    def good(votes):
+        odds = [1 - prior, prior]
+        for g in (0, 1):
+            for k, v in enumerate(votes):
+                odds[g] *= chance[k][g][v] if v else 1
+        return odds[1] / sum(odds)
+
+    for _ in range(rounds):
+        each = [good(votes) for votes in rows]
+        mass = [len(rows) - sum(each), sum(each)]
+        for k in range(rules):
+            for g in (0, 1):
+                start = {-1: (0.2, 0.8)[not g], 1: (0.2, 0.8)[g]}
+                n = {v: sum(e if g else 1 - e for e, votes in zip(each, rows, strict=True) if votes[k] == v) + max(1, 0.01 * mass[g]) * start[v] for v in (-1, 1)}
+                chance[k][g] = {v: n[v] / (n[-1] + n[1]) for v in n} | {0: 0.0}
+        prior = min(0.99, max(0.01, mass[1] / len(rows)))
+    return [good(votes) for votes in rows]
+
+
+def test_posterior_is_brute_force(spark):
+    r = random.Random(2)
+    words = "the of and house garden river in light stone to is".split()
+    texts = [" ".join(r.choices(words if k % 4 else ["zq", "#x", "QQQ", "vvv"], k=r.randint(15, 90))) + ("\nsame line" * 9 if k % 7 == 0 else "") for k in range(120)]
+    judged = quality.judge(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    votes = {x.doc_id: [x[f"vote_{rule.name}"] for rule in quality.RULES] for x in judged}
+    learned = [x.doc_id for x in judged if not x.base_failed]
+    posterior = dict(zip(learned, slow_quality([votes[d] for d in learned]), strict=True))
+    assert 20 < len(learned) < 120 and {x.kept for x in judged} == {True, False}
+    for x in judged:
+        if not x.base_failed:
+            assert abs(x.quality - posterior[x.doc_id]) < 1e-6 and x.kept == (x.quality >= 0.5)
+
+
 # PII ---------------------------------------------------------------------------------------------
 
 LETTER = (
@@ -233,6 +292,48 @@ def test_language_edge_cases(spark, tmp_path):
     assert language_id.predict(spark.createDataFrame([], "doc_id long, text string"), None).count() == 0
 
 
+def test_numerals_are_no_letters(spark, tmp_path):
+    rows = [(k, "the house and the garden", "en") for k in range(8)] + [(20, "½ ²", None), (21, "①②③ Ⅷ", None), (22, "½ a", None), (23, "北", None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    frame.write.parquet(str(tmp_path / "documents.parquet"))
+    found = {x.doc_id: x.lang_pred for x in language_id.query(spark, str(tmp_path)).collect()}
+    assert [found[k] for k in (20, 21, 22, 23)] == ["und", "und", "en", "en"]
+    odd = frame.select("doc_id", "text", F.lit(1).alias("a.b"), F.lit(2).alias("score"))
+    assert language_id.predict(odd, None).columns == ["doc_id", "text", "a.b", "lang_pred", "score"]
+    assert {x.doc_id for x in frame.where(language_id.has_letter(F.col("text"))).collect()} == {*range(8), 22, 23}
+
+
+def slow_language(text, model):
+    """Votes of all duels, trigram by trigram."""
+    raw = f" {text.lower()} ".encode()
+    count = {}
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        at = ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) * 0x27D4EB2F % 2**32 >> 20
+        count[at] = count.get(at, 0) + 1
+    total = sum(count.values())
+
+    def level(names, pairs, weights):
+        if len(names) == 1:
+            return names[0]
+        votes, margins = dict.fromkeys(names, 0), dict.fromkeys(names, 0.0)
+        for (a, b), w in zip(pairs, weights, strict=True):
+            m = sum((n / total) ** 0.5 * w[at] for at, n in count.items()) + w[-1]
+            votes[names[a if m >= 0 else b]] += 1
+            margins[names[a]] += m
+            margins[names[b]] -= m
+        return max(sorted(names), key=lambda x: (votes[x], margins[x]))
+
+    inside = model.within[level(model.families.names, model.families.pairs, model.families.weights)]
+    return level(inside.names, inside.pairs, inside.weights)
+
+
+def test_predictions_are_brute_force(spark):
+    docs = read_table(spark, SMALL, "documents")
+    model = language_id.fit(docs)
+    rows = language_id.predict(docs, model).where("lang_pred <> 'und'").collect()
+    assert len(rows) > 50 and all(x.lang_pred == slow_language(x.text, model) for x in rows)
+
+
 # top-k ---------------------------------------------------------------------------------------------
 
 
@@ -330,9 +431,9 @@ def test_pipeline_without_labels(spark, tmp_path):
 
 def test_every_language_is_learned(spark, tmp_path):
     r = random.Random(8)
-    words = {f"x{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(48)}
+    words = {f"x{k:02d}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(12)] for k in range(60)}
     # the last ones are the rarest
-    rows = [(n, " ".join(r.choices(words[lang], k=25)), lang) for n, lang in enumerate(lang for k, lang in enumerate(words) for _ in range(30 - k // 4))]
+    rows = [(n, " ".join(r.choices(words[lang], k=25)), lang) for n, lang in enumerate(lang for k, lang in enumerate(words) for _ in range(30 - k // 5))]
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     found = {x.doc_id: x.lang_pred for x in language_id.query(spark, str(tmp_path)).collect()}
     assert {found[n] for n, _, _ in rows} == set(words)
