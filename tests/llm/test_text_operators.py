@@ -168,6 +168,9 @@ def test_surrogates_keep_type_and_form():
 def test_numbers_are_permuted(size):
     s = pii.Surrogates(b"k")
     assert sorted(s.number("x", v, size) for v in range(size)) == list(range(size))
+    assert all(s.number("x", s.number("x", v, size), size, back=True) == v for v in range(size))
+    other = [s.another("x", v, size) for v in range(size)]
+    assert sorted(other) == list(range(size)) and (size == 1 or all(v != w for v, w in enumerate(other)))
 
 
 def test_long_secret_and_case():
@@ -207,6 +210,76 @@ def test_pseudonymise(spark):
     assert pii.pseudonymise(frame.limit(0), b"k").count() == 0
 
 
+def test_more_surnames_than_short_surrogates(spark):
+    assert len(pii.SYLLABLES["latin"]) ** 3 * len(pii.SURNAME_END["latin"]) < 300_000
+    values = spark.range(300_000).select(F.lit("surname:latin").alias("kind"), F.concat(F.lit("n"), F.col("id")).alias("value"))
+    tries = {r.value: r.attempt for r in pii.collisions(values, b"k").collect()}
+    s = pii.Surrogates(b"k")
+    assert len({s.of("surname:latin", f"n{k}", tries.get(f"n{k}", 0)).lower() for k in range(300_000)}) == 300_000
+
+
+def test_full_forms_widen(spark):
+    """Every value of a form is an entity, so no surrogate of that form is free."""
+    rows = [("email", f"{c}@{h}.com") for c in "abcdefghijklmnopqrstuvwxyz0" for h in "xyz"] + [("ssn", str(c)) for c in range(10)]
+    found = {(r.kind, r.value): r.attempt for r in pii.collisions(spark.createDataFrame(rows, "kind string, value string"), b"k").collect()}
+    s = pii.Surrogates(b"k")
+    final = [pii.entity(s.of(k, v, found.get((k, v), 0)), k) for k, v in rows]
+    assert len(set(final)) == len(rows) and max(found.values()) > pii.WIDEN
+    values = {"email": "a.b@x.com", "ipv4": "1.2.3.4", "ipv6": "fe80::12", "card": "4111 1111 1111 1111", "ssn": "123-45-6789", "phone": "+1 (366) 555-9807", "iban": "DE89 3704 0044 0532 0130 00", "secret": "ab12cd34ef=="}
+    for kind, value in values.items():
+        assert len(s.of(kind, value, pii.WIDEN)) == len(value) or kind == "ipv4"
+        longer = {s.of(kind, value, t) for t in range(pii.WIDEN + 1, pii.WIDEN + 6)}
+        assert len(longer) == 5 and all(len(x) > len(value) or kind == "ipv4" for x in longer)
+
+
+ODD = [
+    "call +٩٦٦ ٥٠ ١٢٣ ٤٥٦٧ now", "تماس +۹۸ ۹۱۲ ۱۲۳ ۴۵۶۷", "card ４１１１ １１１１ １１１１ １１１１", "aİb@x.com and ßA@ǅ.com", "иван.Петров@почта.рф", "邮箱 张三@例子.com", "mail a@b.com你好",
+    "DB_PASSWORD=hunter2hunter", "client_secret: 'a1b2c3d4e5'", "AWS_SECRET_ACCESS_KEY = abcDEF/123456", "auth_token=correcthorsebattery", "pwd: P@ssw0rd!x9",
+    "555 123 4567", "020 7946 0958", "fe80::1ff:fe23:4567:890a", "2001:DB8:0:0:8:800:200C:417A", "+1 (366) 555-9807", "10.2.3.4", "123-45-6789",
+    "Dr. Strange met Priya Sharma and Hiroshi Tanaka", "My name is Zebulon Quux", "From: Iker Etxeberria", "Dear Siobhan O'Neil", "меня зовут Пётр Иванов",
+]
+
+
+def test_no_entity_stays_and_none_meet(spark):
+    texts = [*ODD, *(f"{a}; {b}" for a, b in zip(ODD, ODD[1:], strict=False)), LETTER]
+    found = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), b"k").collect()}
+    became = {}
+    for k, text in enumerate(texts):
+        own = pii.find(text)
+        assert own and len(own) == found[k].n_entities, text
+        for (_, _, kind, value), span in zip(own, found[k].entities, strict=True):
+            new = found[k].text[span["start"] : span["end"]]
+            assert new != value and became.setdefault((kind, pii.entity(value, kind)), pii.entity(new, kind)) == pii.entity(new, kind)
+            # of the same form: digits, capitals and small letters of one script stay so
+            if kind in ("phone", "card", "ssn"):
+                assert [pii.alphabet_of(c) for c in new] == [pii.alphabet_of(c) for c in value]
+    listed = {x for x in became if not x[0].startswith("given")}
+    assert not {(kind, new) for (kind, _), new in became.items() if not kind.startswith("given")} & listed
+    for kind in {k for k, _ in became}:
+        new = [v for (k, _), v in became.items() if k == kind]
+        assert len(set(new)) == len(new), kind
+
+
+@pytest.mark.parametrize("key", [b"k", b"corpus pipeline", b"public test key", b"x"])
+def test_no_given_name_stands_for_itself(key):
+    s = pii.Surrogates(key)
+    for (script, gender), names in pii.GIVEN.items():
+        assert len(set(names)) == len(names)
+        new = [s.of(f"given:{script}:{gender}", n) for n in names]
+        assert sorted(new) == sorted(names) and all(a != b for a, b in zip(names, new, strict=True))
+
+
+@pytest.mark.parametrize("clean", ["Karen National Union and Paul Street", "at 12:30:45, std::vector a::b, 10:20", "the secret: everything is fine; token: optional", "Dear Customer Service, from New York", "100 200 3000 4000", "he said: dear Sir Madam", "½ ² ① 12 345"])
+def test_what_is_no_entity(clean):
+    assert pii.find(clean) == []
+
+
+def test_columns_of_any_name_are_carried(spark):
+    frame = spark.createDataFrame([(1, "mail a1@x.com", 2, 3)], "doc_id long, text string, `a.b` int, `c``d` int")
+    assert pii.pseudonymise(frame, b"k").columns == ["doc_id", "text", "a.b", "c`d", "n_entities", "entities"]
+    assert pii.pseudonymise(frame, b"k").first()["a.b"] == 2
+
+
 # license scan and other queries with SQL ----------------------------------------------------------
 
 
@@ -438,11 +511,3 @@ def test_every_language_is_learned(spark, tmp_path):
     found = {x.doc_id: x.lang_pred for x in language_id.query(spark, str(tmp_path)).collect()}
     assert {found[n] for n, _, _ in rows} == set(words)
     assert sum(found[n] == lang for n, _, lang in rows) >= 0.97 * len(rows)
-
-
-def test_more_surnames_than_short_surrogates(spark):
-    most = len(pii.SYLLABLES["greek"]) ** 3 * len(pii.SURNAME_END["greek"])
-    values = spark.range(most + 9_000).select(F.lit("surname:greek").alias("kind"), F.concat(F.lit("n"), F.col("id")).alias("value"))
-    tries = {r.value: r.attempt for r in pii.collisions(values, b"k").collect()}
-    s = pii.Surrogates(b"k")
-    assert len({s.of("surname:greek", f"n{k}", tries.get(f"n{k}", 0)).lower() for k in range(most + 9_000)}) == most + 9_000
