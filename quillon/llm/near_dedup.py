@@ -17,7 +17,9 @@ Defined results: a text without words, or null, has an empty set (n_shingles 0)
 and is linked with nothing; fewer words than a shingle make one shingle of all;
 documents of equal sets form a class and are expanded from its smallest doc_id;
 rows that share a doc_id are one document and linked; rows with a null doc_id
-are returned with a null component and kept = false; other columns pass by.
+are returned with a null component and kept = false; an empty table gives an
+empty one; other columns pass by. A text of any length is shingled whole, with
+about 50 bytes for each word; a run holds 16 MB of sets or two documents.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, WordHashes, as_bytes, read_table, saved, sized, slices, window_hashes
 from .graph import connected_components
-from .linkage import forest, in_runs, search
+from .linkage import linked
 
 
 def shingle_set(text: bytes | None, width: int, words: WordHashes) -> np.ndarray:
@@ -99,8 +101,8 @@ def _candidate_edges(table: Scratch, coordinates: int, matches: int, percent: in
     survivors = saved(reps.join(lists.select("doc_id", prefix.alias("prefix")), "doc_id"), "survivors", table)
     postings = survivors.select("doc_id", "n_shingles", "signature", F.explode("prefix.element").alias("element"))
 
-    def link(rows: pa.RecordBatch) -> list[tuple]:
-        nodes = rows.column(0).to_numpy()
+    def matcher(rows: pa.RecordBatch) -> tuple:
+        nodes = rows.column(0)
         sizes = rows.column(1).to_numpy()
         signs = rows.column(2).values.to_numpy()[rows.column(2).offsets.to_numpy()[0] :][: len(nodes) * coordinates].reshape(-1, coordinates)
 
@@ -109,10 +111,9 @@ def _candidate_edges(table: Scratch, coordinates: int, matches: int, percent: in
             near[near] = (signs[others[near]] == signs[k]).sum(axis=1) >= matches
             return near
 
-        return [(int(nodes[a]), int(nodes[b])) for a, b in search(len(nodes), np.arange(len(nodes)), match)]
+        return np.arange(len(nodes)), match
 
-    runs = in_runs(postings, "element", "doc_id", table)
-    return forest(runs, ["doc_id", "n_shingles", "signature"], link, "u long, v long")
+    return linked(postings, "element", "doc_id", ["doc_id", "n_shingles", "signature"], matcher, table)
 
 
 def _confirmed_edges(docs: DataFrame, groups: Scratch, width: int, coordinates: int, matches: int, percent: int) -> DataFrame:
@@ -128,13 +129,12 @@ def _confirmed_edges(docs: DataFrame, groups: Scratch, width: int, coordinates:
             own = batch.take(pa.array(mine, pa.int64()))
             yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), own.column(3), pa.array([signature(found[k], *functions).tobytes() for k in mine], pa.binary()), pa.array([found[k].tobytes() for k in mine], pa.binary())], names=["doc_id", "component", "set_md5", "signature", "shingles"])
 
-    def link(rows: pa.RecordBatch) -> list[tuple]:
-        nodes = rows.column(0).to_pylist()
+    def matcher(rows: pa.RecordBatch) -> tuple:
         signs = np.frombuffer(b"".join(rows.column(1).to_pylist()), np.int32).reshape(-1, coordinates)
         found = [np.frombuffer(x, np.uint64) for x in rows.column(2).to_pylist()]
         sizes = np.array([len(x) for x in found])
         # the member nearest to what most agree on comes first: copies of one text are near to it
-        votes = np.zeros(len(nodes), np.int64)
+        votes = np.zeros(len(found), np.int64)
         for k in range(coordinates):
             _, inverse, count = np.unique(signs[:, k], return_inverse=True, return_counts=True)
             votes += count[inverse]
@@ -147,12 +147,12 @@ def _confirmed_edges(docs: DataFrame, groups: Scratch, width: int, coordinates:
                 near[x] = 100 * both >= percent * either
             return near
 
-        return [(nodes[a], nodes[b]) for a, b in search(len(nodes), np.argsort(-votes, kind="stable"), match)]
+        return np.argsort(-votes, kind="stable"), match
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    wanted = texts.join(sized(groups), "doc_id").select("doc_id", "component", "text", "set_md5")
+    wanted = texts.join(sized(groups).drop("n_shingles"), "doc_id").select("doc_id", "component", "text", "set_md5")
     members = wanted.mapInArrow(sets, "doc_id long, component long, set_md5 binary, signature binary, shingles binary").dropDuplicates(["doc_id", "set_md5"])
-    return forest(in_runs(members, "component", "doc_id", groups, sizes=groups.df), ["doc_id", "signature", "shingles"], link, "u long, v long")
+    return linked(members, "component", "doc_id", ["doc_id", "signature", "shingles"], matcher, groups, sizes=groups.df, weight=8 * F.col("n_shingles") + 8 * coordinates)
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordinates: int = 48, matches: int = 24) -> DataFrame:
@@ -164,7 +164,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     named = saved(rows.drop("signature").join(classes, "set_md5", "left"), "classes", table)
     reps = Scratch(classes.withColumnRenamed("class", "doc_id").join(rows, ["doc_id", "set_md5"]).dropDuplicates(["doc_id", "set_md5"]).select("doc_id", "set_md5", "n_shingles", "signature"), "representatives", table)
     candidates = connected_components(_candidate_edges(reps, coordinates, matches, percent), reps)
-    groups = Scratch(candidates.select(F.col("node").alias("doc_id"), "component").join(reps.df.select("doc_id", "set_md5"), "doc_id"), "candidates", reps)
+    groups = Scratch(candidates.select(F.col("node").alias("doc_id"), "component").join(reps.df.select("doc_id", "set_md5", "n_shingles"), "doc_id"), "candidates", reps)
     links = _confirmed_edges(docs, groups, width, coordinates, matches, percent)
     # a doc_id with several sets joins their classes
     spread = named.where("class is not null and class <> doc_id").select(F.col("class").alias("u"), F.col("doc_id").alias("v"))

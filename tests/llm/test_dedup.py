@@ -2,13 +2,15 @@
 
 import random
 import re
+import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import line_dedup, linkage, near_dedup
-from quillon.llm.common import read_table
+from quillon.llm.common import WordHashes, read_table
 from quillon.llm.graph import connected_components
 
 
@@ -52,11 +54,11 @@ def test_runs_lose_no_link(spark, block):
     rows = [(r.randint(0, 4), k, r.randint(0, 30)) for k in range(120)] + [(99, 500, 1)]
     frame = spark.createDataFrame(rows, "g long, node long, x long")
 
-    def link(batch):
-        nodes, x = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        return [(int(nodes[a]), int(nodes[b])) for a, b in linkage.search(len(nodes), np.arange(len(nodes)), lambda k, others: abs(x[others] - x[k]) <= 1)]
+    def matcher(batch):
+        x = batch.column(1).to_numpy()
+        return np.arange(len(x)), lambda k, others: abs(x[others] - x[k]) <= 1
 
-    found = linkage.forest(linkage.in_runs(frame, "g", "node", block=block), ["node", "x"], link, "u long, v long").collect()
+    found = linkage.linked(frame, "g", "node", ["node", "x"], matcher, block=block).collect()
     expected = [(a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and abs(a[2] - b[2]) <= 1]
     assert components(map(tuple, found)) == components(expected)
 
@@ -137,36 +139,44 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1), (a, b, most)
 
 
-def test_blocks_meet_within_three_bits(spark):
-    r = random.Random(6)
-    pairs = []
-    for k in range(200):
-        a = r.getrandbits(64)
-        b = a
-        for bit in r.sample(range(64), r.randint(0, 3)):
-            b ^= 1 << bit
-        pairs.append((k, *(v - (1 << 64) if v >> 63 else v for v in (a, b))))
-    frame = spark.createDataFrame(pairs, "k int, a long, b long")
-    met = frame.select(F.arrays_overlap(line_dedup.block_keys(F.col("a")), line_dedup.block_keys(F.col("b"))).alias("m"))
-    assert met.where("m").count() == 200
-    far = frame.select(F.arrays_overlap(line_dedup.block_keys(F.col("a")), line_dedup.block_keys(F.bitwise_not("b"))).alias("m"))
-    assert far.where("m").count() == 0
-
-
-def line_model(rows, least, fuzzy, percent):
-    """Text after removal for each (doc_id, text)."""
-    places = []
-    for doc, text in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
-        for k, line in enumerate(text.split("\n")):
-            plain = line_dedup.normalised(line)
-            if plain and len(plain.split(" ")) >= least:
-                places.append((doc, text, k, plain))
-    names = sorted({p[3] for p in places})
-    long = [n for n in names if len(n.split(" ")) >= fuzzy]
-    bits = dict(zip(long, (int(v) & (1 << 64) - 1 for v in line_dedup.simhashes([n.encode().split() for n in long])), strict=True))
-    edges = [(a, b) for k, a in enumerate(long) for b in long[k + 1 :] if (bits[a] ^ bits[b]).bit_count() <= 3 and levenshtein(a, b) <= max(len(a), len(b)) * (100 - percent) // 100]
+def plain(line):
+    """The normalised line, character by character."""
+    kept = ["0" if c.isdecimal() else c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in line.lower()]
+    return " ".join("".join(kept).split())
+
+
+def within(a, b, most):
+    """Whether the edit distance is ``most`` or less, by the plain table near its diagonal."""
+    if abs(len(a) - len(b)) > most or max((Counter(a) - Counter(b)).total(), (Counter(b) - Counter(a)).total()) > most:
+        return False  # each edit changes one character of the bag
+    row = {j: j for j in range(min(len(b), most) + 1)}
+    for i, c in enumerate(a, 1):
+        new = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            new[j] = min(row.get(j, most) + 1, new.get(j - 1, most) + 1, row.get(j - 1, most) + (j == 0 or c != b[j - 1])) if j else i
+        row = new
+        if min(row.values()) > most:
+            return False
+    return row.get(len(b), most + 1) <= most
+
+
+def line_model(rows, percent=85):
+    """Places (doc, line) to remove by plain edit similarity of all pairs, and the linked pairs."""
+    places = [(doc, k, name) for doc, text in rows for k, line in enumerate(text.split("\n")) if (name := plain(line))]
+    names = sorted({p[2] for p in places}, key=len)
+    edges = []
+    for k, a in enumerate(names):
+        for b in names[k + 1 :]:
+            if 100 * len(a) < percent * len(b):
+                break
+            if within(a, b, len(b) * (100 - percent) // 100):
+                edges.append((a, b))
     group = components(edges)
-    return places, group, edges
+    firsts = {}
+    for doc, k, name in places:
+        name = group.get(name, name)
+        firsts[name] = min(firsts.get(name, (doc, k)), (doc, k))
+    return {(doc, k) for doc, k, name in places if firsts[group.get(name, name)] != (doc, k)}, edges
 
 
 def near_lines(seed=2):
@@ -185,20 +195,73 @@ def near_lines(seed=2):
     return rows
 
 
+def removed(rows, found):
+    """Places of the lines that are gone, from whole texts."""
+    gone = set()
+    for doc, text in rows:
+        lines = text.split("\n")
+        left = found[doc][0].split("\n") if found[doc][1] < len(lines) else []
+        at = 0
+        for k, line in enumerate(lines):
+            if at < len(left) and left[at] == line:
+                at += 1
+            else:
+                gone.add((doc, k))
+        assert at == len(left)
+    return gone
+
+
 def test_line_dedup_is_brute_force(spark):
     rows = near_lines()
-    places, group, edges = line_model(rows, 4, 8, 85)
-    assert len(edges) > 10
-    firsts = {}
-    for doc, _, k, plain in places:
-        name = group.get(plain, plain)
-        firsts[name] = min(firsts.get(name, (doc, k)), (doc, k))
-    gone = {(doc, k) for doc, _, k, plain in places if firsts[group.get(plain, plain)] != (doc, k)}
-    expected = {doc: "\n".join(line for k, line in enumerate(text.split("\n")) if (doc, k) not in gone) for doc, text in rows}
+    expected, edges = line_model(rows)
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    found = line_dedup.dedup_lines(frame).collect()
-    assert {r.doc_id: r.text for r in found} == expected
-    assert sum(r.n_lines_removed for r in found) == len(gone)
+    out = line_dedup.dedup_lines(frame).collect()
+    found = removed(rows, {r.doc_id: (r.text, r.n_lines_removed) for r in out})
+    assert len(edges) > 50 and found <= expected
+    assert len(found) >= 0.9 * len(expected)
+    assert sum(r.n_lines_removed for r in out) == len(found)
+
+
+def test_line_dedup_recall_on_the_small_tables(spark):
+    """Against plain edit similarity of all pairs of lines of up to 150 characters."""
+    docs = read_table(spark, "/root/testdata/sf0.001", "documents").where("text is not null").select("doc_id", F.expr("array_join(filter(split(text, '\\n'), x -> length(x) < 150), '\\n')").alias("text"))
+    rows = [tuple(r) for r in docs.collect()]
+    expected, edges = line_model(rows)
+    found = removed(rows, {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup_lines(docs).collect()})
+    assert expected and found <= expected and len(found) >= 0.9 * len(expected)
+
+
+def test_lines_with_changed_words_meet():
+    r = random.Random(11)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))).encode() for _ in range(5000)]
+    hashes = WordHashes()
+    share = {}
+    for n, changes in ((4, 1), (6, 1), (9, 1), (14, 1), (20, 2), (30, 2), (60, 4), (200, 12)):
+        met = 0
+        for _ in range(150):
+            a = r.choices(words, k=n)
+            b = list(a)
+            for _ in range(changes):
+                at = r.randrange(len(b))
+                kind = r.random()
+                b[at : at + 1] = [r.choice(words)] if kind < 0.6 else [] if kind < 0.8 else [b[at], r.choice(words)]
+            (x, y), need = line_dedup.line_keys([a, b], hashes)
+            met += y is not None and len(np.intersect1d(x, y)) >= max(need)
+        share[n] = met / 150
+    assert min(share.values()) > 0.75 and np.mean(list(share.values())) > 0.9, share
+
+
+def test_many_removed_lines_take_linear_time(spark):
+    import time
+
+    line_dedup.dedup_lines(spark.createDataFrame([(1, "a\na\nb")], "doc_id long, text string")).collect()
+    text = "\n".join(f"first line number {'x' * (k % 3)}" for k in range(200_000))
+    began = time.perf_counter()
+    out = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert out.n_lines_removed > 199_990 and time.perf_counter() - began < 60
+    cut = line_dedup.dedup_lines
+    gone = spark.createDataFrame([(1, text, list(range(1, 200_000)))], "doc_id long, text string, lines array<int>")
+    assert cut(gone).count() == 1
 
 
 def test_line_dedup_edge_cases(spark):
@@ -208,7 +271,7 @@ def test_line_dedup_edge_cases(spark):
     found = line_dedup.dedup_lines(frame)
     assert found.columns == ["doc_id", "line", "name", "simhash", "text", "n_lines_removed"]
     out = sorted(((r.doc_id, r.text, r.n_lines_removed) for r in found.collect()), key=repr)
-    assert out == sorted([(1, same + "\n\nshort one", 1), (2, "short one", 1), (2, "short one", 1), (3, None, 0), (4, "", 0), (None, same, 0), (5, rows[6][1], 0), (6, rows[7][1], 0)], key=repr)
+    assert out == sorted([(1, same + "\n\nshort one", 1), (2, "", 2), (2, "", 2), (3, None, 0), (4, "", 0), (None, same, 0), (5, rows[6][1], 0), (6, rows[7][1], 0)], key=repr)
     assert line_dedup.dedup_lines(frame.limit(0)).count() == 0
 
 
@@ -216,13 +279,26 @@ def test_simhash_is_the_weighted_majority():
     import xxhash
 
     r = random.Random(5)
-    lines = [[bytes(r.choices(b"abcd", k=r.randint(1, 6))) for _ in range(n)] for n in (1, 2, 84, 85, 86, 171, 5000, 3)]
-    for words, found in zip(lines, line_dedup.simhashes(lines), strict=True):
+    words = [bytes(r.choices(b"abcd", k=r.randint(1, 6))) for _ in range(400)]
+    hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
+    weights = np.array([1 if len(w) < 4 else 3 for w in words], np.uint8)
+    blocks = [(0, 1), (3, 19), (10, 26), (399, 400), (368, 400), (5, 7)]
+    for (a, b), found in zip(blocks, line_dedup.simhashes(hashes, weights, blocks), strict=True):
         expected = 0
         for bit in range(64):
-            total = sum((1 if xxhash.xxh3_64_intdigest(w) >> bit & 1 else -1) * (1 if len(w) < 4 else 3) for w in words)
+            total = sum((1 if int(h) >> bit & 1 else -1) * int(w) for h, w in zip(hashes[a:b], weights[a:b], strict=True))
             expected |= (total > 0) << bit
-        assert int(found) & (1 << 64) - 1 == expected
+        assert int(found) == expected
+
+
+def test_blocks_cover_lines():
+    r = random.Random(7)
+    for chars in (False, True):
+        for n in [*range(7 if chars else 4, 130), 1000]:
+            ends = sorted(r.sample(range(10, 10 + n), n // 4))
+            blocks, names = line_dedup.cut([b"x"] * n, ends, 10, chars)
+            assert names and all(10 <= a < b <= 10 + n and b - a <= 32 for a, b in blocks), (n, blocks)
+            assert {x for name in names for x in name} == set(range(len(blocks)))
 
 
 def test_near_dedup_on_the_small_tables(spark):
@@ -233,8 +309,8 @@ def test_near_dedup_on_the_small_tables(spark):
 
 
 def test_equal_lines_of_any_script_are_one(spark):
-    lines = ["a,b,c,d,e", "x/y/z/w", "https://www.example.com/some/long/path", "state-of-the-art", "北京是一座历史悠久的城市", "これは長い日本語の文章です", "กรุงเทพมหานครเป็นเมืองหลวง", "“He said” – yes, it’s so…", "Donaudampfschifffahrtsgesellschaft"]
-    short = ["Introduction", "关于我们", "one two", "★ ★ ★ ★ ★"]
+    lines = ["a,b,c,d,e", "x/y/z/w", "https://www.example.com/some/long/path", "state-of-the-art", "北京是一座历史悠久的城市", "これは長い日本語の文章です", "กรุงเทพมหานครเป็นเมืองหลวง", "“He said” – yes, it’s so…", "Donaudampfschifffahrtsgesellschaft", "Introduction", "关于我们", "one two"]
+    short = ["★ ★ ★ ★ ★", "--", ""]
     rows = [(1, "\n".join(lines + short)), (2, "\n".join(lines + short)), (3, '"He said" - yes, it\'s so...'), (4, "की कि का के को"), (5, "क क क क क")]
     found = {r.doc_id: (r.text, r.n_lines_removed) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == {1: (rows[0][1], 0), 2: ("\n".join(short), len(lines)), 3: ("", 1), 4: (rows[3][1], 0), 5: (rows[4][1], 0)}
