@@ -139,6 +139,23 @@ def test_edit_distance():
         assert line_dedup.edit_distance(a, b, most) == min(levenshtein(a, b), most + 1), (a, b, most)
 
 
+def test_distance_by_parts_is_no_less():
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdef") for _ in range(r.randint(1, 6))) for _ in range(40)]
+    close = 0
+    for _ in range(400):
+        a = r.choices(words, k=r.randint(0, 40))
+        b = list(a)
+        for _ in range(r.randint(0, 5)):
+            at = r.randrange(len(b) + 1)
+            b[at : at + r.choice([0, 1, 1, 3])] = r.choices(words, k=r.choice([0, 1, 1, 2]))
+        a, b = " ".join(a), " ".join(b)
+        true, found = levenshtein(a, b), line_dedup.distance_by_parts(a, b, 10_000)
+        assert found >= true
+        close += found <= 1.3 * true + 2
+    assert close > 300
+
+
 def plain(line):
     """The normalised line, character by character."""
     kept = ["0" if c.isdecimal() else c if c.isalnum() or unicodedata.category(c)[0] == "M" else " " for c in line.lower()]
