@@ -33,8 +33,9 @@ import ipaddress
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cache, lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,6 +69,8 @@ SYLLABLES = {
 SURNAME_END = {"latin": ("nd", "ll", "rt"), "cyrillic": ("нов", "рин", "ский"), "greek": ("κης", "δης", "πουλος")}
 
 GENDER_OF = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
+#: What a text has to hold for a person with a title or a listed name.
+STARTS = (*GENDER_OF, *(title + " " for titles in TITLES.values() for title in titles), *(title + "." for titles in TITLES.values() for title in titles))
 TITLE_OF = {title: gender for gender, titles in TITLES.items() for title in titles}
 
 #: Words that make a place, an institution or a form of address of a name before or after them.
@@ -82,6 +85,9 @@ SECRET = re.compile(
     r"""(?i)(?<![A-Za-z0-9])(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credential)s?(?:[_-][A-Za-z0-9]+){0,3}(?![\w])"""
     r"""(?P<sign>[^\w\n=:]{0,8}[=:][^\w\n]{0,8})(?P<value>[A-Za-z0-9](?:[^\s"'`,;<>()\[\]{}|\\]{6,})[A-Za-z0-9+/=_@$%^&*#!~-])"""
 )
+#: What a text has to hold, in small letters, to be searched for secrets and introduced names.
+SECRET_WORDS = ("pass", "pwd", "secret", "token", "key", "auth", "credential")
+INTRODUCTIONS = ("name is", "dear", "signed by", "sincerely,", "regards,", "wishes,", "je m'appelle", "ich heiße", "me llamo", "mi chiamo", "меня зовут", "με λένε", "name:", "author:", "from:", "to:", "cc:", "attn:", "contact:")
 SECRET_SIGN = re.compile(r"[=:]")
 #: What tells a secret from a word: a digit, a sign inside, a capital after a small letter.
 SECRETIVE = re.compile(r"[0-9+/_@$%^&*#!~=]|[a-z][A-Z]")
@@ -153,6 +159,16 @@ def luhn_check(digits: str) -> int:
     return -total % 10
 
 
+@cache
+def _starts() -> ahocorasick.Automaton:
+    """Finds the titles and listed names, so that few texts are searched for persons."""
+    found = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    for word in STARTS:
+        found.add_word(word)
+    found.make_automaton()
+    return found
+
+
 def is_card(digits: str) -> bool:
     """Whether the first digits are an issuer's and the last one checks."""
     first = int(digits[:2])
@@ -174,8 +190,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     spans: list[tuple[int, int, str, str]] = []
     if "@" in text:
         spans += [(*m.span(), "email", m.group()) for m in EMAIL.finditer(text)]
+    low = text.lower()
     if SECRET_SIGN.search(text):
-        spans += [(*m.span("value"), "secret", m["value"]) for m in SECRET.finditer(text) if ("=" in m["sign"] or SECRETIVE.search(m["value"])) and not m["value"].startswith("http")]
+        spans += [(*m.span("value"), "secret", m["value"]) for m in (SECRET.finditer(text) if any(map(low.__contains__, SECRET_WORDS)) else ()) if ("=" in m["sign"] or SECRETIVE.search(m["value"])) and not m["value"].startswith("http")]
         if text.count(":") > 1:
             spans += [(*m.span(), "ipv6", m.group()) for m in IPV6.finditer(text) if is_ipv6(m.group())]
     if DIGIT.search(text):
@@ -185,7 +202,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 continue  # too short for a phone; no card
             spans.append((*m.span(), m.lastgroup, m.group()))
     if MAYBE_PERSON.search(text):
-        for m in PERSON.finditer(text):
+        for m in PERSON.finditer(text) if next(_starts().iter(text), None) else ():
             title, first, last = m.group("title", "first", "last")
             known = GENDER_OF.get(first)
             if last in NO_NAME:
@@ -196,7 +213,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 spans.append((*m.span("last"), "surname:" + script_of(last), last))
             elif title and not known:
                 spans.append((*m.span("first"), "surname:" + script_of(first), first))
-        for m in INTRODUCED.finditer(text):
+        for m in INTRODUCED.finditer(text) if any(map(low.__contains__, INTRODUCTIONS)) else ():
             for part in ("first", "last") if m["first"] not in NO_NAME and m["last"] not in NO_NAME and m["first"] not in TITLE_OF else ():
                 known = GENDER_OF.get(m[part])
                 spans.append((*m.span(part), "given:" + ":".join(known) if known else "surname:" + script_of(m[part]), m[part]))
