@@ -1,9 +1,11 @@
 """Quality, PII, license scan, language ID, top-k and the pipeline."""
 
+import math
 import os
 import random
 import re
 import unicodedata
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -325,9 +327,48 @@ def test_license_edge_cases(spark, tmp_path):
     assert license_scan.query(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_license_scan_has_no_python(spark):
-    plan = license_scan.query(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy\n# of this software and associated documentation files (the \"Software\"), to deal\n# in the Software without restriction",
+    "bsd": " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:",
+    "gpl": "// This program is free software; you can redistribute it and/or modify\n// it under the terms of the GNU General Public License as published by\n// the Free Software Foundation",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted",
+}
+
+
+def test_wrapped_notices_match_and_scattered_words_do_not(spark, tmp_path):
+    scattered = ["All of these have the rights that were reserved", "released to the public under a license that MIT wrote", "redistribution\n" + "word " * 20 + "and use in source\n" + "word " * 20 + "and binary forms with or without modification are permitted"]
+    alternating = "license general " * 20_000 + "all rights reserved"
+    texts = [*WRAPPED.values(), *("filler words here " * 300 + t + " more filler " * 300 for t in WRAPPED.values()), *scattered, alternating]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    by = {r.doc_id: r for r in license_scan.query(spark, str(tmp_path)).collect()}
+    for k, label in enumerate([*WRAPPED, *WRAPPED]):
+        assert label in by[k].labels.split(",") and by[k].score >= 0.9, (k, by[k])
+    assert [by[len(WRAPPED) * 2 + k].labels for k in range(4)] == ["", "", "", "all-rights-reserved"]
+
+
+def test_random_texts_equal_the_license_sql(spark, tmp_path):
+    r = random.Random(12)
+    vocabulary = sorted({w for _, t in license_scan.TEMPLATES for w in t.split()})
+    rows = []
+    for k in range(150):
+        words = []
+        for _ in range(r.randint(1, 6)):
+            template = r.choice(license_scan.TEMPLATES)[1].split()
+            words += [w for w in template if r.random() < r.choice([0.75, 0.9, 1.0])] + r.choices(vocabulary + ["x", "y", "Z"], k=r.randint(0, 30))
+        rows.append((k, "".join(w + r.choice([" ", "\n", ", ", "  "]) for w in words)))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert sum(x[3] != "" for x in compare(spark, tmp_path, "op4_license_scan")) > 50
+
+
+def test_license_scan_has_no_python(spark, monkeypatch):
+    """Neither the last plan nor those of the tables written before it."""
+    plans = []
+    write = license_scan.saved
+    monkeypatch.setattr(license_scan, "saved", lambda df, *rest: plans.append(df) or write(df, *rest))
+    plans.append(license_scan.query(spark, SMALL))
+    assert len(plans) == 3
+    for frame in plans:
+        assert not re.search("Python|Pandas|Arrow|ExternalRDD|MapPartitions", frame._jdf.queryExecution().executedPlan().toString())
 
 
 # language ID ---------------------------------------------------------------------------------------
@@ -410,15 +451,16 @@ def test_predictions_are_brute_force(spark):
 # top-k ---------------------------------------------------------------------------------------------
 
 
-def slow_top_k(rows, k=10):
-    good = [(i, [int(np.floor(1024 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)]
+def slow_top_k(rows, k=10, single=True):
+    """Python's integers; of two lengths the components that both have count, and scores beyond 64 bits are cut in the end."""
+    good = [(i, [math.floor(1024 * Fraction(float(np.float32(x)) if single else x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     asked = {}
     for i, v in good:
         asked.setdefault(i, v) if i % 100 == 0 else None
     for q, v in asked.items():
-        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in good if i != q)[:k]
-        out += [(q, rank, i, -s) for rank, (s, i) in enumerate(scores, 1)]
+        scores = sorted((-sum(a * b for a, b in zip(v, w, strict=False)), i) for i, w in good if i != q)[:k]
+        out += [(q, rank, i, max(-(2**63), min(2**63 - 1, -s))) for rank, (s, i) in enumerate(scores, 1)]
     return sorted(out)
 
 
@@ -432,6 +474,41 @@ def test_top_k_is_brute_force(spark, tmp_path, scale):
     assert found == slow_top_k(rows)
 
 
+def test_top_k_of_huge_components_and_mixed_lengths(spark, tmp_path):
+    r = np.random.default_rng(9)
+    rows = [(k, (r.normal(size=r.choice([1, 3, 8, 8, 8, 40])) * r.choice([1.0, 1e3, 1e6, 1e9, 1e15, 1e30, 1e200], p=[0.4, 0.2, 0.1, 0.1, 0.1, 0.05, 0.05])).tolist()) for k in range(500)]
+    rows += [(600, []), (700, [4e6] * 8), (701, [1e300] * 8), (800, [-1e300] * 8), (900, [float("inf")]), (901, [9e18, 2.0])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5).write.parquet(str(tmp_path / "embeddings.parquet"))
+    found = sorted(map(tuple, topk.query(spark, str(tmp_path)).collect()))
+    assert found == slow_top_k(rows, single=False)
+    assert {x[3] for x in found} >= {2**63 - 1, 0}
+
+
+def test_exact_keys_sort_as_numbers():
+    r = random.Random(1)
+    values = [s * r.getrandbits(r.randint(60, 900)) for _ in range(300) for s in (1, -1)]
+    assert sorted(values) == sorted(values, key=topk.exact_key)
+
+
+def test_queries_skip_parts_and_annuli():
+    """Clustered vectors: most annuli are never multiplied."""
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(20, 16)) * 1000
+    rows = np.floor(centres[r.integers(0, 20, 20_000)] + r.normal(size=(20_000, 16)) * 30)
+    pivots = topk.choose_pivots(rows[:500])
+    near = ((rows[:, None] - pivots[None]) ** 2).sum(axis=2).argmin(axis=1)
+    distance = np.linalg.norm(rows - pivots[near], axis=1)
+    order = np.lexsort((distance, near))
+    part = topk.Part(np.arange(20_000)[order], rows[order], near[order], distance[order], pivots)
+    scores = rows[:50] @ rows.T
+    np.fill_diagonal(scores, -np.inf)
+    floors = np.sort(scores, axis=1)[:, -10]
+    reach = topk.bounds(rows[:50], pivots, *part.rings) >= floors[:, None]
+    assert reach.mean() < 0.5
+    for n, (query, ids, found) in enumerate(part.search(np.arange(50), rows[:50], np.full(50, topk.LOWEST), 10)):
+        assert query == n and sorted(found.tolist()) == sorted(np.sort(scores[n])[-10:].astype(int).tolist())
+
+
 def test_top_k_of_few_and_none(spark, tmp_path):
     spark.createDataFrame([(0, [1.0, 2.0]), (7, [1.0, 0.0])], "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "a/embeddings.parquet"))
     assert [tuple(r) for r in topk.query(spark, str(tmp_path / "a")).collect()] == [(0, 1, 7, 1024 * 1024)]
