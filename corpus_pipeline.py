@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillon.llm import language_id, line_dedup, near_dedup, packing, pii
-from quillon.llm.common import Scratch, read_table, saved, sized
+from quillon.llm.common import Scratch, named, read_table, saved, sized
 from quillon.llm.token_ids import tokenizer_path
 
 KEY = b"corpus pipeline"
@@ -18,7 +18,7 @@ KEY = b"corpus pipeline"
 
 def _with_length(docs: DataFrame, columns: list[str]) -> DataFrame:
     """These columns, n_chars as long as the text now is."""
-    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+    return docs.withColumn("n_chars", F.length("text").cast("long")).select(*map(named, columns))
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +27,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if model is None:
         return docs.where(language_id.has_letter(F.col("text").cast("string")))
     found = language_id.predict(docs, model)
-    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*docs.columns)
+    return found.where(F.col("lang_pred") != language_id.UNKNOWN).select(*map(named, docs.columns))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
