@@ -22,16 +22,45 @@ def lookup_join(probe: DataFrame, build: DataFrame, key: str, payload: str, orde
     return joined.select(F.col(key).alias("key"), F.col(payload).bitwiseXOR(F.col("_found")).alias("payload"))
 
 
-def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, strict: bool = True) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, by: str, at: str, value: str, strict: bool = True, bucket: float | None = None) -> DataFrame:
     """The left rows with ``found``: of the right rows of the same ``by`` before ``at``, the latest ``value``.
 
     Both sides are merged and a window carries the last right row on, so a key's
     rows are sorted once and no pairs are made. With ``strict``, right rows at the
     very time don't count. ``found`` is null where nothing came before.
+
+    With ``bucket`` (seconds, or units of a numeric ``at``) a key's rows are sorted
+    bucket by bucket, so that a key with very many rows is spread over tasks; the
+    last value of each bucket, a row for each, is carried on to the next ones.
     """
     columns = left.columns
     lefts = left.select(F.col(by).alias("_by"), F.col(at).alias("_at"), F.struct(*columns).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_value"), F.lit(0 if strict else 1).alias("_side"))
     rights = right.select(F.col(by).alias("_by"), F.col(at).alias("_at"), F.lit(None).cast(lefts.schema["_row"].dataType).alias("_row"), F.col(value).alias("_value"), F.lit(1 if strict else 0).alias("_side"))
-    before = W.partitionBy("_by").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found: Column = F.last("_value", ignorenulls=True).over(before)
-    return lefts.unionAll(rights).withColumn("found", found).where("_row is not null").select("_row.*", "found")
+    merged = lefts.unionAll(rights)
+    here = W.orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last: Column = F.last("_value", ignorenulls=True)
+    if bucket is None:
+        return merged.withColumn("found", last.over(here.partitionBy("_by"))).where("_row is not null").select("_row.*", "found")
+    kind = left.schema[at].dataType.typeName()
+    number = F.col("_at").cast("timestamp").cast("double") if kind.startswith(("timestamp", "date")) else F.col("_at").cast("double")
+    cut = merged.withColumn("_bucket", F.floor(number / bucket))
+    ends = cut.groupBy("_by", "_bucket").agg(F.max(F.when(F.col("_value").isNotNull(), F.struct("_at", "_value"))).getField("_value").alias("_value"))
+    before = W.partitionBy("_by").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    carried = ends.select(F.col("_by").alias("_c_by"), F.col("_bucket").alias("_c_bucket"), last.over(before).alias("_carried"))
+    found = cut.withColumn("_found", last.over(here.partitionBy("_by", "_bucket"))).where("_row is not null")
+    joined = found.join(carried, F.col("_by").eqNullSafe(F.col("_c_by")) & F.col("_bucket").eqNullSafe(F.col("_c_bucket")), "left")
+    return joined.select("_row.*", F.coalesce("_found", "_carried").alias("found"))
+
+
+def range_join(left: DataFrame, right: DataFrame, low: Column, high: Column, at: Column, width: float) -> DataFrame:
+    """The pairs of rows with ``at`` of the right one between ``low`` and ``high`` of the left one.
+
+    Both sides are cut into buckets of ``width``, and a left row is listed under
+    each that its range touches; they meet by an equality join, which shuffles and
+    can be split where a bucket is hot, instead of every row with every other. A
+    width near the usual length of a range keeps the copies to two or so.
+    """
+    spread = left.withColumn("_low", low).withColumn("_high", high).where("_low <= _high")
+    buckets = F.sequence(F.floor(F.col("_low") / width), F.floor(F.col("_high") / width))
+    lefts, rights = spread.withColumn("_bucket", F.explode(buckets)), right.withColumn("_at", at).withColumn("_bucket", F.floor(at / width))
+    return lefts.join(rights, "_bucket").where("_at between _low and _high").drop("_bucket", "_low", "_high", "_at")

@@ -45,7 +45,6 @@ SHARED: dict[str, str] = {
     "join_anti": "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 300000)",
     "join_not_in": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 300000)",
     "join_theta": "select a.n_name x, b.n_name y from nation a join nation b on a.n_nationkey < b.n_nationkey",
-    "join_range": "select count(*) n from part p join supplier s on s.s_acctbal between p.p_retailprice and p.p_retailprice + 100",
     # aggregates
     "group_avg": "select o_orderpriority, avg(o_totalprice) a from orders group by o_orderpriority",
     "group_rollup": "select l_returnflag, l_linestatus, sum(l_quantity) q from lineitem group by rollup (l_returnflag, l_linestatus)",
@@ -97,7 +96,18 @@ PAIRS: dict[str, tuple[str, str | None]] = {
     "array_size": ("select vec_id, cast(size(embedding) as bigint) n from embeddings", "select vec_id, len(embedding) n from embeddings"),
     "json_path": ("select get_json_object(props, '$.k') k, count(*) n from events group by 1", "select json_extract_string(props, '$.k') k, count(*) n from events group by 1"),
     "unnest": ("select vec_id, round(sum(x), 4) s from (select vec_id, explode(embedding) x from embeddings) group by vec_id", "select vec_id, round(sum(x), 4) s from (select vec_id, unnest(embedding)::double x from embeddings) group by vec_id"),
-    "approx_distinct": ("select approx_count_distinct(o_custkey) n from orders", None),
+    "approx_distinct": ("select abs(approx_count_distinct(o_custkey) - count(distinct o_custkey)) <= 0.15 * count(distinct o_custkey) as within from orders", "select true as within"),
+    "agg_percentile_approx": ("select l_returnflag, percentile_approx(l_quantity, 0.5, 100000) a from lineitem group by 1", "select l_returnflag, quantile_disc(l_quantity, 0.5) a from lineitem group by 1"),
+    "array_transform": (
+        "select vec_id, round(aggregate(transform(embedding, x -> cast(x as double) * 2), 0D, (a, x) -> a + x), 4) s from embeddings",
+        "select vec_id, round(list_sum(list_transform(embedding, lambda x: x::double * 2)), 4) s from embeddings",
+    ),
+    "map_lookup": (
+        "select map_from_arrays(array('F', 'O', 'P'), array(1, 2, 3))[o_orderstatus] k, cast(size(map_keys(map('a', 1, 'b', 2))) as bigint) m, count(*) n from orders group by 1, 2",
+        "select map(['F', 'O', 'P'], [1, 2, 3])[o_orderstatus] k, len(map_keys(map(['a', 'b'], [1, 2]))) m, count(*) n from orders group by 1, 2",
+    ),
+    "json_struct": ("select from_json(props, 'k bigint').k k, count(*) n from events group by 1", "select json_extract(props, '$.k')::bigint k, count(*) n from events group by 1"),
+    "try_casts": ("select try_cast('x' as int) a, try_cast('7' as int) b, try_cast('2020-02-30' as date) e", "select try_cast('x' as int) a, try_cast('7' as int) b, try_cast('2020-02-30' as date) e"),
 }
 
 

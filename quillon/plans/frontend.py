@@ -132,8 +132,12 @@ class PlanService:
             return Reply(False, e.getMessage())
         return Reply(True, json.dumps({"type": execution.sparkPlan().nodeName(), "plan": execution.optimizedPlan().toString()}))
 
-    def execute_plan(self, query_id: str, most_rows: int = 10_000) -> Reply:
-        """The result as JSON lines; longer results are for a frame, not for a message, and are refused."""
+    def execute_plan(self, query_id: str, out: str | None = None) -> Reply:
+        """The whole result as JSON lines, fetched a partition at a time.
+
+        With ``out``, results of any size are written there as JSON files by the
+        tasks that compute them, and the reply names the folder and the rows.
+        """
         if query_id not in self.submitted:
             return Reply(False, f"unknown query: {query_id}")
         text = self.submitted[query_id]
@@ -141,11 +145,13 @@ class PlanService:
         if kind != "SELECT":
             return Reply(False, f"{kind} is not supported: attached tables are read-only")
         try:
-            rows = [r[0] for r in self.spark.sql(text).selectExpr("to_json(struct(*))").limit(most_rows + 1).collect()]
+            frame = self.spark.sql(text)
+            if out is not None:
+                frame.write.json(out)
+                return Reply(True, json.dumps({"path": out, "rows": self.spark.read.text(out).count()}))
+            rows = [r[0] for r in frame.selectExpr("to_json(struct(*))").toLocalIterator()]
         except Exception as e:  # noqa: BLE001  the reply carries any failure of the query
             return Reply(False, str(e))
-        if len(rows) > most_rows:
-            return Reply(False, f"more than {most_rows} rows")
         return Reply(True, "\n".join(rows))
 
     def apply(self, statements: Iterable[str]) -> list[Reply]:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import ir
 from ..functions.binary import unsigned
 from ..functions.checksum import crc32c
+from ..functions.checksum import table as checksum_table
 from ..operators.aggregate import aggregate_f64, total_f64
-from ..operators.lookup_join import asof_join, lookup_join
+from ..operators.lookup_join import asof_join, lookup_join, range_join
 from ..operators.radix import radix_counts, radix_partition, wrapping
 from ..operators.radix import mix as hash_mix
 from ..operators.star import average_score
@@ -43,15 +44,27 @@ def lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
-    found = asof_join(events, events.withColumn("t", F.col("ts")), "user_id", "ts", "t")
+    found = asof_join(events, events.withColumn("t", F.col("ts")), "user_id", "ts", "t", bucket=86_400.0)
     return found.select("event_id", F.col("found").alias("t"))
 
 
+def ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts, suppliers = _table(spark, sf_dir, "part").select("p_retailprice"), _table(spark, sf_dir, "supplier").select("s_acctbal")
+    met = range_join(parts, suppliers, F.col("p_retailprice"), F.col("p_retailprice") + 100, F.col("s_acctbal"), 100.0)
+    return met.agg(F.count("*").alias("n"))
+
+
 def hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _table(spark, sf_dir, "part")
     return wrapping(spark, lambda: keys.select("p_partkey", hash_mix(F.col("p_partkey")).alias("h")))
 
 
+#: A checksum's register over the bytes of an ASCII text, in DuckDB.
+_CRC_SQL = f"""with r as (select p_partkey, list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(p_name) + 1), lambda i: ascii(substr(p_name, i, 1))::bigint)),
+    lambda c, b: xor(c >> 8, ({list(checksum_table())}::bigint[])[(xor(c, b) & 255) + 1])) register from part)
+    select p_partkey, xor(register, 4294967295) crc, register from r"""
+#: A 64-bit integer read without its sign, in DuckDB.
+_U = "(case when {0} < 0 then {0}::hugeint + 18446744073709551616 else {0}::hugeint end)"
 _MULTIPLY = "((({0}) & 4294967295)::hugeint * {1}::hugeint + (((({0}) >> 32)::hugeint * {1}::hugeint) % 4294967296) * 4294967296) % 18446744073709551616"
 
 
@@ -76,10 +89,9 @@ def radix_second(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def radix_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitions of a radix partitioning that hold more than one radix byte: none, if keys are many."""
+    """Rows of each radix byte, counted in the partitions that they were dealt to, and how many of those it is in: one."""
     dealt = radix_partition(_table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey").withColumn("part", F.spark_partition_id())
-    apart = dealt.groupBy("radix").agg(F.countDistinct("part").alias("parts")).where("parts > 1")
-    return apart.agg(F.count("*").alias("n"))
+    return dealt.groupBy(F.col("radix").cast("long").alias("radix")).agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"))
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,9 +101,12 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "nation").select("n_nationkey", innodb.page_bytes(F.col("n_nationkey"), F.col("n_name")).alias("page"))
+    n = F.col("n_nationkey").cast("long")
+    values = {"checksum": n * 3 + 4_000_000_000, "page_number": n, "prev_page": n + 100, "next_page": n + 200, "lsn": n * 1_000_003 + (1 << 40), "flush_lsn": n + 5, "space_id": F.lit(9)}
+    rows = _table(spark, sf_dir, "nation").select("n_nationkey", innodb.page_bytes(n, F.col("n_name"), values).alias("page"))
     fil, own = innodb.fil_header(F.col("page")), innodb.page_header(F.col("page"))
-    return rows.select("n_nationkey", fil["page_type"].cast("long").alias("page_type"), own["n_dir_slots"].cast("long").alias("slots"), F.length("page").cast("long").alias("size"))
+    fields = [fil[name].cast("string").alias(name) for name, _, _ in innodb.FIL_FIELDS if name != "page_type"]
+    return rows.select("n_nationkey", *fields, fil["page_type"].cast("long").alias("page_type"), own["n_dir_slots"].cast("long").alias("slots"), F.length("page").cast("long").alias("size"))
 
 
 def big_endian(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +144,33 @@ def ir_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrapping(spark, make)
 
 
+def ir_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem")
+
+    def make() -> DataFrame:
+        a, b = ir.load("l_partkey", "I64"), ir.binary("Sub", ir.binary("Mul", ir.load("l_suppkey", "I64"), ir.const(37, "I64")), ir.const(1500, "I64"))
+        x, y = ir.load("l_discount", "F64"), ir.load("l_tax", "F64")
+        whole = [ir.binary(op, a, b).column.alias(op) for op in ("Eq", "Ne", "Slt", "Sle", "Sgt", "Sge", "Ult", "Ule", "Ugt", "Uge")]
+        return rows.select("l_orderkey", "l_linenumber", *whole, *[ir.binary(op, x, y).column.alias(op) for op in ("FCmpOeq", "FCmpOne", "FCmpOlt", "FCmpOle", "FCmpOgt", "FCmpOge")])
+
+    return wrapping(spark, make)
+
+
+def ir_arithmetic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem")
+
+    def make() -> DataFrame:
+        a, b, k = ir.load("l_partkey", "I64"), ir.binary("Sub", ir.binary("Mul", ir.load("l_suppkey", "I64"), ir.const(37, "I64")), ir.const(1500, "I64")), ir.load("l_linenumber", "I64")
+        x, y = ir.load("l_extendedprice", "F64"), ir.load("l_quantity", "F64")
+        small, nonzero = ir.unary("Trunc", b, "I32"), ir.binary("Add", a, ir.const(1, "I64"))
+        named = {op: ir.binary(op, a, b) for op in ("Mul", "And", "Or", "Xor")} | {op: ir.binary(op, b, k) for op in ("AShr", "LShr")}
+        named |= {"UDiv": ir.binary("UDiv", b, ir.binary("Mul", nonzero, ir.const(1_000_003, "I64"))), "URem": ir.binary("URem", b, nonzero)} | {op: ir.binary(op, x, y) for op in ("FAdd", "FSub", "FMul", "FDiv", "FRem")}
+        named |= {"Neg": ir.unary("Neg", b), "Not": ir.unary("Not", b), "FNeg": ir.unary("FNeg", x), "SExt": ir.unary("SExt", small, "I64"), "SIToFP": ir.unary("SIToFP", b, "F64"), "UIToFP": ir.unary("UIToFP", b, "F64"), "FPToUI": ir.unary("FPToUI", x, "I64"), "FPTrunc": ir.unary("FPExt", ir.unary("FPTrunc", y, "F32"), "F64")}
+        return rows.select("l_orderkey", "l_linenumber", *[v.column.alias(name) for name, v in named.items()])
+
+    return wrapping(spark, make)
+
+
 def school(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The seven-table star, its tables made from the driver's."""
     t = lambda name: _table(spark, sf_dir, name)
@@ -162,11 +204,19 @@ QUERIES = {
     "hash_mix": (hashes, f"select p_partkey, h from ({_mix_sql('p_partkey', 'part')})"),
     "radix_histogram": (radix, f"select h & 255 radix, count(*) n from ({_mix_sql('o_orderkey', 'orders')}) group by 1"),
     "radix_histogram_pass2": (radix_second, f"select (h >> 8) & 255 radix, count(*) n from ({_mix_sql('o_orderkey', 'orders')}) group by 1"),
-    "radix_partition": (radix_whole, "select 0::bigint n"),
+    "radix_partition": (radix_whole, f"select h & 255 radix, count(*) n, 1::bigint parts from ({_mix_sql('o_orderkey', 'orders')}) group by 1"),
     "binary_page_rows": (pages, "select s_suppkey::int page_no, 0::bigint slot, 120::bigint place, s_suppkey score, s_name board from supplier"),
-    "binary_page_headers": (page_fields, "select n_nationkey, 17855::bigint page_type, 1::bigint slots, 16384::bigint size from nation"),
+    "binary_page_headers": (page_fields, """select n_nationkey, (n_nationkey::bigint * 3 + 4000000000)::varchar checksum, n_nationkey::varchar page_number, (n_nationkey + 100)::varchar prev_page, (n_nationkey + 200)::varchar next_page,
+        (n_nationkey::bigint * 1000003 + 1099511627776)::varchar lsn, (n_nationkey + 5)::varchar flush_lsn, '9' space_id, 17855::bigint page_type, 1::bigint slots, 16384::bigint size from nation"""),
     "big_endian": (big_endian, "select r_regionkey, ('0x' || hex(substr(r_name, 1, 2)))::bigint u16, ('0x' || hex(substr(r_name, 1, 4)))::bigint u32 from region"),
-    "crc32c": (checksums, None),
+    "crc32c": (checksums, _CRC_SQL),
+    "join_range": (ranges, "select count(*) n from part p join supplier s on s.s_acctbal between p.p_retailprice and p.p_retailprice + 100"),
+    "ir_comparisons": (ir_comparisons, f"""with t as (select *, l_partkey::bigint a, l_suppkey::bigint * 37 - 1500 b, {_U.format("l_partkey::bigint")} ua, {_U.format("(l_suppkey::bigint * 37 - 1500)")} ub, l_discount x, l_tax y from lineitem)
+        select l_orderkey, l_linenumber, a = b as Eq, a <> b as Ne, a < b as Slt, a <= b as Sle, a > b as Sgt, a >= b as Sge, ua < ub as Ult, ua <= ub as Ule, ua > ub as Ugt, ua >= ub as Uge,
+        x = y as FCmpOeq, x <> y as FCmpOne, x < y as FCmpOlt, x <= y as FCmpOle, x > y as FCmpOgt, x >= y as FCmpOge from t"""),
+    "ir_arithmetic": (ir_arithmetic, f"""with t as (select *, l_partkey::bigint a, l_suppkey::bigint * 37 - 1500 b, l_linenumber::bigint k, l_extendedprice x, l_quantity y from lineitem)
+        select l_orderkey, l_linenumber, a * b as Mul, a & b as "And", a | b as "Or", xor(a, b) as Xor, b >> k::int as AShr, (({_U.format("b")}) // (2::hugeint ** k::int)::hugeint)::bigint as LShr, (({_U.format("b")}) // ((a + 1) * 1000003))::bigint as UDiv, (({_U.format("b")}) % (a + 1))::bigint as URem,
+        x + y as FAdd, x - y as FSub, x * y as FMul, x / y as FDiv, fmod(x, y) as FRem, -b as Neg, -1 - b as "Not", -x as FNeg, b as SExt, b::double as SIToFP, ({_U.format("b")})::double as UIToFP, trunc(x)::bigint as FPToUI, y::float::double as FPTrunc from t"""),
     "statement_summary": (statements, """select * from (values (0::bigint, 'SELECT', 'marks,enrollments'), (1, 'SELECT', 'a,b,c'), (2, 'SELECT', 't,u'), (3, 'INSERT', ''), (4, 'DELETE', ''), (5, 'UPDATE', '')) t(k, query_type, tables)"""),
     "plan_service": (plan_service, """select * from (values (0::bigint, true, '{"r_regionkey":3}'), (1, false, ''), (2, false, ''), (3, true, '{"n":5}')) t(k, success, message)"""),
     "ir_operations": (ir_operations, """with t as (select *, l_partkey::bigint a, l_suppkey::bigint - 50 b, ((l_partkey::bigint & 255) + 128) % 256 - 128 s from lineitem)

@@ -22,7 +22,15 @@ def rendered(frame: DataFrame) -> Iterator[list[str]]:
     if all(c is not None for c in shown) and all(t in _PLAIN or t.startswith(("decimal", "varchar", "char", "interval")) for _, t in frame.dtypes):
         frame = frame.select(*shown)
     for row in frame.toLocalIterator():
-        yield ["" if v is None else str(v) for v in row]
+        yield [_text(v) for v in row]
+
+
+def _text(value: object) -> str:
+    """A value as text; one that can't be shown is named by its type, and the rows after it go on."""
+    try:
+        return "" if value is None else str(value)
+    except Exception as e:  # noqa: BLE001
+        return f"<{type(value).__name__}: {type(e).__name__}>"
 
 
 _PLAIN = {"string", "tinyint", "smallint", "int", "bigint", "float", "double", "boolean", "date", "timestamp", "timestamp_ntz"}
@@ -41,7 +49,11 @@ def aligned(header: list[str], rows: Iterable[list[str]], out: TextIO, sample: i
     count = 0
     for rows_now in (first, source):
         for row in rows_now:
-            print(line(row), file=out)
+            try:
+                print(line(row), file=out)
+            except ValueError as e:  # what the terminal can't show
+                print(f"row skipped: {type(e).__name__}", file=out)
+                continue
             count += 1
     return count
 
@@ -60,7 +72,7 @@ class Prompt:
 
     def __init__(self, engine: Engine, read: Callable[[str], str] = input, out: TextIO | None = None, connect: Callable[[dsns.Dsn], object] | None = None):
         self.engine, self.read, self.out = engine, read, out or sys.stdout
-        self.connect = connect or (lambda found: engine.attach(found))
+        self.connect = connect or engine.connect
 
     def say(self, text: str) -> None:
         print(text, file=self.out)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .plans.frontend import StatementError, summarize
 from .sources import catalog
+from .sources import dsn as dsns
 
 #: Settings that a new session starts with; what the caller or the cluster sets comes first.
 DEFAULTS = {
@@ -37,14 +38,36 @@ class Engine:
     def register_parquet(self, name: str, path: str) -> DataFrame:
         return catalog.register_parquet(self.spark, name, path)
 
+    def register_files(self, name: str, path: str, kind: str, schema: str | None = None, **options: str) -> DataFrame:
+        """A view over files of a kind that Spark reads: orc, json, avro, text and others."""
+        return catalog.register_files(self.spark, name, path, kind, schema, **options)
+
+    def write(self, text: str, path: str, kind: str = "parquet", mode: str = "errorifexists", by: list[str] | None = None, **options: str) -> None:
+        """Writes a query's rows to files, in folders by the columns named."""
+        catalog.write_files(self.sql(text), path, kind, mode, by, **options)
+
     def attach(self, dsn: str, tables: list[str] | None = None, **options: str) -> list[str]:
         """Makes a lazy view for every table of a database, or for those named."""
         return catalog.attach(self.spark, dsn, tables, **options)
 
+    def connect(self, dsn: dsns.Dsn) -> list[str]:
+        """Attaches a database that has answered."""
+        if not catalog.ping(self.spark, dsn):
+            raise ConnectionError(f"no answer from {dsn.host}")
+        return catalog.attach(self.spark, dsn)
+
     def register_function(self, name: str, function: Callable[..., object], returns: str) -> None:
         """A function that SQL can call: on whole pandas series, batch by batch, not row by row."""
         self.spark.udf.register(name, F.pandas_udf(function, returns))
 
+    def register_aggregate(self, name: str, function: Callable[..., object], returns: str) -> None:
+        """An aggregate that SQL can call: from a group's whole series to one value."""
+        self.spark.udf.register(name, F.pandas_udf(function, returns, F.PandasUDFType.GROUPED_AGG))
+
+    def register_table_function(self, name: str, kind: type, returns: str) -> None:
+        """A table function that SQL can call: a class whose ``eval`` yields rows."""
+        self.spark.udtf.register(name, F.udtf(kind, returnType=returns))
+
     def persist(self, name: str) -> DataFrame:
         """Keeps a table's rows in memory, on disk where memory ends, from its next use on."""
         return self.spark.table(name).persist(StorageLevel.MEMORY_AND_DISK)

@@ -24,6 +24,20 @@ def register_parquet(spark: SparkSession, name: str, path: str) -> DataFrame:
     return frame
 
 
+def register_files(spark: SparkSession, name: str, path: str, kind: str, schema: str | None = None, **options: str) -> DataFrame:
+    """A view over files of any kind that Spark reads; give a schema for large ones whose kind has none of its own."""
+    reader = spark.read.format(kind).options(**options)
+    frame = (reader.schema(schema) if schema else reader).load(path)
+    frame.createOrReplaceTempView(name)
+    return frame
+
+
+def write_files(frame: DataFrame, path: str, kind: str = "parquet", mode: str = "errorifexists", by: list[str] | None = None, **options: str) -> None:
+    """The rows as files, in folders by the columns named, so that later reads skip folders."""
+    writer = frame.write.format(kind).mode(mode).options(**options)
+    (writer.partitionBy(*by) if by else writer).save(path)
+
+
 def quoted(driver: str, name: str) -> str:
     """An identifier as the database quotes it; a dot parts schema and table."""
     mark = "`" if driver == "mysql" else '"'

@@ -135,12 +135,13 @@ def read_tablespace(spark: SparkSession, path: str, pages_per_task: int = 4096)
     return spark.read.format("tablespace").option("pagesPerTask", str(pages_per_task)).load(path)
 
 
-def page_bytes(score: Column, board: Column) -> Column:
-    """A page with one row, as ``rows_of`` reads it; the board may have up to 255 bytes."""
+def page_bytes(score: Column, board: Column, fil: dict[str, Column] | None = None) -> Column:
+    """A page with one row, as ``rows_of`` reads it; the board may have up to 255 bytes. ``fil`` are header fields other than 0."""
     number = lambda value, size: F.unhex(F.lpad(F.hex(value), 2 * size, "0"))
     zeros = lambda count: F.unhex(F.repeat(F.lit("00"), count))
     at = 120
     name = F.encode(board, "UTF-8")
-    head = [zeros(F.lit(24)), number(F.lit(INDEX_PAGE), 2), zeros(F.lit(12)), number(F.lit(1), 2), zeros(F.lit(at - RECORD_HEADER - 2 - 40)), number(F.length(name), 1)]
+    fields = {"page_type": F.lit(INDEX_PAGE)} | (fil or {})
+    head = [*[number(fields.get(name, F.lit(0)), size) for name, _, size in FIL_FIELDS], number(F.lit(1), 2), zeros(F.lit(at - RECORD_HEADER - 2 - 40)), number(F.length(name), 1)]
     row = [zeros(F.lit(1 + RECORD_HEADER + TRANSACTION + ROLL)), number(score, INTEGER), name]
     return F.concat(*head, *row, zeros(F.lit(PAGE - 2 - at - TRANSACTION - ROLL - INTEGER) - F.length(name)), number(F.lit(at), 2))

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillon.functions import ir
-from quillon.functions.checksum import crc32c, crc32c_bytes
+from quillon.functions.checksum import crc32c, crc32c_bytes, crc32c_rows
 from quillon.operators.aggregate import aggregate_f64, total_f64
-from quillon.operators.lookup_join import asof_join, lookup_join
+from quillon.operators.lookup_join import asof_join, lookup_join, range_join
 from quillon.operators.radix import mix, mix_int, radix_counts, radix_partition, wrapping
 from quillon.operators.star import average_score
 
@@ -55,6 +55,39 @@ def test_asof_join(spark):
     assert loose == {("a", 1): 10, ("a", 5): 40, ("b", 5): 50, ("c", 9): None, (None, 2): None}
 
 
+@pytest.mark.parametrize("strict", [True, False])
+def test_asof_join_in_buckets_is_the_same(spark, strict):
+    r = random.Random(3)
+    left = spark.createDataFrame([(r.choice("abc"), r.randint(-50, 50), k) for k in range(150)] + [(None, 4, 999)], "k string, t int, n int")
+    right = spark.createDataFrame([(r.choice("abd"), t, t * 10 if t % 7 else None) for t in r.sample(range(-60, 60), 40)], "k string, t int, v int")
+    whole = sorted(map(repr, asof_join(left, right, "k", "t", "v", strict).collect()))
+    for bucket in (1.0, 7.0, 1000.0):
+        assert sorted(map(repr, asof_join(left, right, "k", "t", "v", strict, bucket).collect())) == whole
+
+
+def test_range_join_is_every_pair_in_range(spark):
+    r = random.Random(5)
+    left = [(k, x := r.uniform(-30, 30), x + r.uniform(-1, 15)) for k in range(60)]
+    right = [(k, r.choice([r.uniform(-40, 40), float(r.randint(-40, 40))])) for k in range(80)] + [(99, None)]
+    frames = spark.createDataFrame([*left, (98, None, 1.0)], "a int, x double, y double"), spark.createDataFrame(right, "b int, z double")
+    found = range_join(*frames, F.col("x"), F.col("y"), F.col("z"), 5.0).select("a", "b").collect()
+    assert sorted(map(tuple, found)) == sorted((a, b) for a, x, y in left for b, z in right if z is not None and x <= z <= y)
+
+
+def test_star_counts_a_mark_for_each_assignment(spark):
+    one = lambda rows, schema: spark.createDataFrame(rows, schema)
+    marks = one([(1, 10.0), (2, 40.0), (2, None)], "enrollment_id int, score double")
+    found = average_score(marks, one([(1, 1, 1), (2, 1, 2)], "id int, student_id int, classroom_id int"), one([(1, 1)], "id int, school_id int"), one([(1, 8), (2, 8)], "id int, grade int"),
+                          one([(1, 5), (1, 5), (1, 5), (2, 5)], "classroom_id int, subject_id int"), one([(5, "Mathematics")], "id int, name string"), one([(1, "b")], "id int, board string"))
+    assert found.first().avg_score == (3 * 10 + 40) / 4
+
+
+def test_crc32c_of_many_rows():
+    r = random.Random(2)
+    rows = [None if r.random() < 0.1 else r.randbytes(r.choice([0, 1, 7, 60])) for _ in range(200)]
+    assert crc32c_rows(rows) == [None if d is None else crc32c_bytes(d) for d in rows] and crc32c_rows([]) == [] and crc32c_rows([None]) == [None]
+
+
 def test_hash_vectors(spark):
     keys = [1, 2, 3, 4, 5, 0, -1, 2**63 - 1, -(2**63), 123456789012345]
     frame = spark.createDataFrame([(k,) for k in keys], "k long")
