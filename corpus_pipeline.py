@@ -2,6 +2,13 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that the stage
 before it kept; all but the last return the columns of ``documents``.
+
+Defined results, in every stage: an empty table gives an empty one; extra columns
+are carried up to packing, whatever their names; rows with a null doc_id are
+documents of their own, and rows that repeat are treated alike. A null text or one
+without a letter goes in the first stage. Of equal or similar lines the first by
+(doc_id, line) stays, and of near copies the smallest doc_id; rows that share that
+doc_id all stay. Texts of any length are read whole.
 """
 
 from __future__ import annotations
