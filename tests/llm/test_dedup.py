@@ -4,13 +4,14 @@ import random
 import re
 import unicodedata
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillon.llm import line_dedup, linkage, near_dedup
-from quillon.llm.common import read_table
+from quillon.llm.common import read_table, scratch_root
 from quillon.llm.graph import connected_components
 
 
@@ -352,3 +353,51 @@ def test_words_are_cut_alike_with_and_without_other_scripts():
     for _ in range(300):
         text = "".join(chr(r.randrange(128)) for _ in range(60))
         assert line_dedup.plain_lines(text + "\né") == [*line_dedup.plain_lines(text), ["é".encode()]]
+
+
+def test_short_lines_with_one_changed_word_always_meet():
+    r = random.Random(21)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(500)]
+    for blank, counts in ((" ", range(5, 12)), ("", range(7, 14))):
+        units = words if blank else "abcdefgh"
+        for n in counts:
+            for _ in range(60):
+                a = r.choices(units, k=n)
+                b = list(a)
+                at = r.randrange(n)
+                b[at : at + 1] = r.choice([[r.choice(units)], [], [b[at], r.choice(units)]])
+                if blank or len(b) >= 7:
+                    keys, ends, need = line_dedup.line_keys([blank.join(x).encode() for x in (a, b)])
+                    assert max(need) == 1 and len(np.intersect1d(keys[: ends[0]], keys[ends[0] :])), (a, b)
+
+
+def test_many_distances_at_once():
+    r = random.Random(22)
+    for _ in range(300):
+        lines = ["".join(r.choice("abé ") for _ in range(r.randint(1, 70))) for _ in range(r.randint(2, 6))]
+        base = r.choice(lines)
+        lines += [base + "x" * k for k in range(4)] + [base[:9] + "zz" + base[11:]]
+        true = [levenshtein(base, x) for x in lines]
+        assert line_dedup.edit_distances(base, [line_dedup.Letters(x) for x in lines]) == true
+        near = [d <= max(len(base), len(x)) * 15 // 100 for d, x in zip(true, lines, strict=True)]
+        assert line_dedup.similar_lines([base, *lines], 85)(0, list(range(1, len(lines) + 1))) == near
+        assert [line_dedup.similar(base, x, 85) for x in lines] == near
+        assert all(d <= most for d, x in zip(true, lines, strict=True) for most in (0, 2, 8) if line_dedup.within_ends(base, x, most))
+
+
+def test_long_lines_that_differ_everywhere_are_compared_whole():
+    """No run of four words is the same, yet the lines are similar."""
+    r = random.Random(23)
+    a = ["".join(r.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(40)]
+    b = ["x" + w[1:] if k % 4 == 3 else w for k, w in enumerate(a)]
+    a, b = " ".join(a), " ".join(b)
+    assert levenshtein(a, b) <= 10 and line_dedup.similar(a, b, 85)
+    assert line_dedup.distance_by_parts(a, b, 75) > 75
+
+
+def test_line_dedup_leaves_one_scratch_table(spark):
+    folder = Path(scratch_root(spark).removeprefix("file://"))
+    before = set(folder.glob("*"))
+    found = line_dedup.dedup_lines(spark.createDataFrame(near_lines(), "doc_id long, text string"))
+    assert [x.name.rsplit("-", 1)[0] for x in set(folder.glob("*")) - before] == ["removed-lines"]
+    assert found.agg(F.sum("n_lines_removed")).first()[0] > 0
