@@ -7,6 +7,7 @@ from collections import Counter
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -401,3 +402,60 @@ def test_line_dedup_leaves_one_scratch_table(spark):
     found = line_dedup.dedup_lines(spark.createDataFrame(near_lines(), "doc_id long, text string"))
     assert [x.name.rsplit("-", 1)[0] for x in set(folder.glob("*")) - before] == ["removed-lines"]
     assert found.agg(F.sum("n_lines_removed")).first()[0] > 0
+
+
+def test_lines_within_so_many_edits():
+    r = random.Random(12)
+    words = ["".join(r.choices("abcdeéж漢", k=r.randint(1, 6))) for _ in range(30)]
+    for _ in range(60):
+        base = " ".join(r.choices(words, k=r.choice([1, 3, 10, 60])))
+        others = []
+        for _ in range(r.randint(1, 5)):
+            line = list(base)
+            for _ in range(int(len(base) * r.choice([0.02, 0.1, 0.15, 0.2, 0.6])) + 1):
+                at = r.randrange(len(line) + 1)
+                line[at : at + r.randint(0, 1)] = r.choices("abcé z", k=r.randint(0, 1))
+            others.append("".join(line) or "a")
+        true = [levenshtein(base, x) for x in others]
+        for share in (5, 15, 40):
+            most = [max(len(base), len(x)) * share // 100 for x in others]
+            assert line_dedup.all_within(base, others, most) == [d <= m for d, m in zip(true, most, strict=True)]
+            assert line_dedup.all_within(base, others, true) == [True] * len(others)
+        assert all(abs(line_dedup.letter_pairs(base) - line_dedup.letter_pairs(x)).sum() <= 4 * d for d, x in zip(true, others, strict=True))
+
+
+def test_lines_of_other_letters_are_not_compared(monkeypatch):
+    def fail(*_):
+        raise AssertionError("compared")
+
+    for name in ("edit_distance", "edit_distances", "all_within", "distance_by_parts"):
+        monkeypatch.setattr(line_dedup, name, fail, raising=False)
+    lines = ["was " * 100, "the " * 100, "der " * 100]
+    assert line_dedup.similar_lines(lines, 85)(0, [1, 2]) == [False, False]
+
+
+def test_second_search_compares_no_pair_again():
+    seen = []
+
+    def matcher(rows):
+        return np.arange(rows.num_rows), lambda k, others: seen.extend((k, int(x)) for x in others) or np.zeros(len(others), bool)
+
+    # nodes 0 and 1 are open, and of chunks 0 and 1; 2 and 3 aren't, and are of chunks 0 and 1
+    rows = [(0, "a", 0, True, True), (1, "b", 1, True, True), (0, "a", 0, True, False), (1, "b", 1, True, False), (2, "c", 0, False, False), (3, "c", 1, False, False)]
+    types = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.bool_())
+    run = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["node", "_label", "_chunk", "_open", "_left"])
+    linkage._joined(run, matcher)
+    assert seen == [(0, 3), (0, 5), (1, 4)]
+
+
+def test_places_of_lines_carry_no_names(spark, monkeypatch):
+    made = {}
+    write = line_dedup.Scratch.__init__
+
+    def init(self, df, name, *like):
+        write(self, df, name, *like)
+        made[name] = df.schema.simpleString()
+
+    monkeypatch.setattr(line_dedup.Scratch, "__init__", init)
+    line_dedup.dedup_lines(spark.createDataFrame(near_lines(), "doc_id long, text string")).collect()
+    assert made["line-places"] == "struct<doc_id:bigint,wanted:array<int>>"
